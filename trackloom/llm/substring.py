@@ -29,7 +29,7 @@ from .common import checkpointed, map_batches, ship
 GRAM = 16
 HOT = 4096
 BITMAP = 1 << 27
-SEGMENTS_IN_SHARD = 6000
+SEGMENTS_IN_SHARD, SEGMENTS_AT_ONCE = 6000, 1500
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MINV = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -119,10 +119,19 @@ def spans_of(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + window) for p in np.split(starts, cut)]
 
 
+class _Codes(dict):
+    """Words as three letters. A state's followers are searched in turn, so the alphabet is small; each place has letters of its own, so matches begin at words."""
+
+    def __missing__(self, w: bytes) -> str:
+        n = len(self)
+        self[w] = c = chr(1 + n % 64) + chr(65 + n // 64 % 64) + chr(129 + n // 4096)
+        return c
+
+
 def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
     """For each segment the starts of its windows that occur at two places or more among all of them."""
-    ids: dict[bytes, int] = {}
-    seqs = [tuple(ids.setdefault(w, len(ids) + 1) for w in s) for s in segments]
+    code = _Codes()
+    seqs = ["".join(map(code.__getitem__, s)) for s in segments]
     hashes = [gram_hashes(word_hashes(s), window) for s in segments]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     values, counts = np.unique(every, return_counts=True)
@@ -130,8 +139,8 @@ def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
     starts: list[list[int]] = [[] for _ in segments]
     if not len(twice):
         return [np.zeros(0, np.int64) for _ in segments]
-    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    added: set[tuple[int, int]] = set()
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    added: set[str] = set()
     live = []
     for k, (seq, h) in enumerate(zip(seqs, hashes)):
         maybe = np.flatnonzero(np.isin(h, twice))
@@ -139,15 +148,15 @@ def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
             continue
         live.append(k)
         for i in maybe.tolist():
-            phrase = seq[i : i + window]
-            if (mark := (int(h[i]), hash(phrase))) not in added:
-                added.add(mark)
+            phrase = seq[3 * i : 3 * (i + window)]
+            if phrase not in added:
+                added.add(phrase)
                 auto.add_word(phrase, len(added))
     auto.make_automaton()
     places: dict[int, list[tuple[int, int]]] = {}
     for k in live:
         for end, phrase in auto.iter(seqs[k]):
-            places.setdefault(phrase, []).append((k, end - window + 1))
+            places.setdefault(phrase, []).append((k, end // 3 - window + 1))
     for found in places.values():
         if len(found) > 1:
             for k, i in found:
@@ -201,8 +210,8 @@ def covered_spans(df: DataFrame, window: int = 35, text: str = "text", key: str
         out = ([], [], [], [])
         edges = np.append(np.flatnonzero(np.diff(a, prepend=a[0] - 1 if len(a) else 0)), len(a))
         k = 0
-        while k < len(edges) - 1:  # whole anchors, some thousand segments to an automaton
-            j = max(k + 1, int(np.searchsorted(edges, edges[k] + 2 * SEGMENTS_IN_SHARD, "right")) - 1)
+        while k < len(edges) - 1:  # whole anchors, SEGMENTS_AT_ONCE segments to an automaton
+            j = max(k + 1, int(np.searchsorted(edges, edges[k] + SEGMENTS_AT_ONCE, "right")) - 1)
             rows = range(int(edges[k]), int(edges[j]))
             for i, starts in zip(rows, locate([s.split(b" ") for s in t.column("seg").slice(rows.start, len(rows)).to_pylist()], window)):
                 for lo, hi in spans_of(starts, window):
