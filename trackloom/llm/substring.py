@@ -134,16 +134,16 @@ def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
     seqs = ["".join(map(code.__getitem__, s)) for s in segments]
     hashes = [gram_hashes(word_hashes(s), window) for s in segments]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    values, counts = np.unique(every, return_counts=True)
-    twice = values[counts > 1]
+    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+    again = np.split(counts[inverse] > 1, np.cumsum([len(h) for h in hashes])[:-1]) if hashes else []
     starts: list[list[int]] = [[] for _ in segments]
-    if not len(twice):
+    if not len(counts) or counts.max() < 2:
         return [np.zeros(0, np.int64) for _ in segments]
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     added: set[str] = set()
     live = []
-    for k, (seq, h) in enumerate(zip(seqs, hashes)):
-        maybe = np.flatnonzero(np.isin(h, twice))
+    for k, (seq, some) in enumerate(zip(seqs, again)):
+        maybe = np.flatnonzero(some)
         if not len(maybe):
             continue
         live.append(k)
