@@ -26,7 +26,7 @@ def covered_flags(a: DataFrame, b: DataFrame, min_iou: float = 0.3, bucket: floa
 
 def ab_diff(current: DataFrame, proposed: DataFrame, min_iou: float = 0.3) -> DataFrame:
     """Per entity: rows of both, of the current run only, of the proposed run only."""
-    a = covered_flags(current, proposed, min_iou).groupBy("entity_id").agg(F.count_if("covered").alias("both"), F.count_if(~F.col("covered")).alias("current_only"))
+    a = covered_flags(current, proposed, min_iou).groupBy("entity_id").agg(F.count_if("covered").alias("in_both"), F.count_if(~F.col("covered")).alias("current_only"))
     b = covered_flags(proposed, current, min_iou).groupBy("entity_id").agg(F.count_if(~F.col("covered")).alias("proposed_only"))
     return a.join(b, "entity_id", "full").fillna(0)
 

@@ -158,8 +158,9 @@ def jitter(tracks: DataFrame) -> DataFrame:
 
 def stabilised(tracks: DataFrame, keys: list[str], window: float) -> DataFrame:
     """Largest size within +-window of each sample, about the same centre (W17). window 0: of the whole track."""
-    span = W.partitionBy(*keys) if window == 0 else W.partitionBy(*keys).orderBy("t").rangeBetween(-window, window)
-    w, h = F.max("w").over(span), F.max("h").over(span)
+    over = ", ".join(f"`{k}`" for k in keys)
+    frame = "" if window == 0 else f" ORDER BY t RANGE BETWEEN {window}D PRECEDING AND {window}D FOLLOWING"  # the API takes whole numbers only
+    w, h = (F.expr(f"max({c}) OVER (PARTITION BY {over}{frame})") for c in ("w", "h"))
     return tracks.withColumns({"sw": w, "sh": h}).withColumns({"sx": F.col("x") + (F.col("w") - F.col("sw")) / 2, "sy": F.col("y") + (F.col("h") - F.col("sh")) / 2})
 
 
