@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpointed, map_batches, ship
 
 GRAM = 16
-HOT = 4096
+HOT = 50_000
 BITMAP = 1 << 27
 SEGMENTS_IN_SHARD, SEGMENTS_AT_ONCE = 6000, 1500
 
@@ -128,27 +128,29 @@ class _Codes(dict):
         return c
 
 
-def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
-    """For each segment the starts of its windows that occur at two places or more among all of them."""
-    code = _Codes()
-    seqs = ["".join(map(code.__getitem__, s)) for s in segments]
+def locate(segments: list[list[bytes]], window: int, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each distinct segment the starts of its windows that occur at two places or more; times: how often each segment occurs.
+
+    Windows of a segment that occurs again are confirmed by that; the automaton is for windows that different segments seem to share.
+    """
+    if not segments:
+        return []
+    times = times or [1] * len(segments)
     hashes = [gram_hashes(word_hashes(s), window) for s in segments]
-    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    again = np.split(counts[inverse] > 1, np.cumsum([len(h) for h in hashes])[:-1]) if hashes else []
-    starts: list[list[int]] = [[] for _ in segments]
-    if not len(counts) or counts.max() < 2:
-        return [np.zeros(0, np.int64) for _ in segments]
+    sizes = [len(h) for h in hashes]
+    _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    again = np.split(counts[inverse] > 1, np.cumsum(sizes)[:-1])
+    starts: list[set[int]] = [set(range(n)) if t > 1 else set() for n, t in zip(sizes, times)]
+    live = [k for k, some in enumerate(again) if some.any()]
+    if not live:
+        return [np.array(sorted(s), np.int64) for s in starts]
+    code = _Codes()
+    seqs = {k: "".join(map(code.__getitem__, segments[k])) for k in live}
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     added: set[str] = set()
-    live = []
-    for k, (seq, some) in enumerate(zip(seqs, again)):
-        maybe = np.flatnonzero(some)
-        if not len(maybe):
-            continue
-        live.append(k)
-        for i in maybe.tolist():
-            phrase = seq[3 * i : 3 * (i + window)]
+    for k in live:
+        for i in np.flatnonzero(again[k]).tolist():
+            phrase = seqs[k][3 * i : 3 * (i + window)]
             if phrase not in added:
                 added.add(phrase)
                 auto.add_word(phrase, len(added))
@@ -160,7 +162,7 @@ def locate(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
     for found in places.values():
         if len(found) > 1:
             for k, i in found:
-                starts[k].append(i)
+                starts[k].add(i)
     return [np.array(sorted(s), np.int64) for s in starts]
 
 
@@ -213,10 +215,15 @@ def covered_spans(df: DataFrame, window: int = 35, text: str = "text", key: str
         while k < len(edges) - 1:  # whole anchors, SEGMENTS_AT_ONCE segments to an automaton
             j = max(k + 1, int(np.searchsorted(edges, edges[k] + SEGMENTS_AT_ONCE, "right")) - 1)
             rows = range(int(edges[k]), int(edges[j]))
-            for i, starts in zip(rows, locate([s.split(b" ") for s in t.column("seg").slice(rows.start, len(rows)).to_pylist()], window)):
+            texts: dict[bytes, list[int]] = {}
+            for i, seg in zip(rows, t.column("seg").slice(rows.start, len(rows)).to_pylist()):
+                texts.setdefault(seg, []).append(i)
+            found = locate([seg.split(b" ") for seg in texts], window, [len(x) for x in texts.values()])
+            for same, starts in zip(texts.values(), found):
                 for lo, hi in spans_of(starts, window):
-                    for c, v in zip(out, (ids[i], hs[i], ats[i] + lo, ats[i] + hi)):
-                        c.append(int(v))
+                    for i in same:
+                        for c, v in zip(out, (ids[i], hs[i], ats[i] + lo, ats[i] + hi)):
+                            c.append(int(v))
             k = j
         return pa.table({"_id": pa.array(out[0], pa.int64()), "_h": pa.array(out[1], pa.int64()), "lo": pa.array(out[2], pa.int32()), "hi": pa.array(out[3], pa.int32())})
 
