@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_batches, ship
+from .common import checkpointed, map_batches, ship, written
 
 GRAM = 16
 HOT = 50_000
@@ -203,6 +203,9 @@ def covered_spans(df: DataFrame, window: int = 35, text: str = "text", key: str
         return out
 
     segments = map_batches(slim, cut, "_id long, _h long, anchor long, hot boolean, at int, seg binary")
+    some_hot = not seen.where(F.col("n") > hot).isEmpty()
+    if some_hot:
+        segments = written(segments)  # the usual and the hot branch both read it
 
     def in_shard(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("anchor").to_numpy(), kind="stable")
@@ -229,7 +232,7 @@ def covered_spans(df: DataFrame, window: int = 35, text: str = "text", key: str
 
     usual = segments.where("not hot").select("_id", "_h", "anchor", "at", "seg", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(in_shard, "_id long, _h long, lo int, hi int")
     spans = usual
-    if not seen.where(F.col("n") > hot).isEmpty():
+    if some_hot:
         spans = spans.unionByName(hot_spans(segments.where("hot"), window))
     return docs, spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
