@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def rows(frame):
     cols = sorted(frame.columns)
 
     def plain(v):
-        return None if v is None or v != v else round(float(v), 5) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
+        return None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
 
     return sorted((tuple(plain(v) for v in r) for r in frame[cols].itertuples(index=False)), key=str)
 

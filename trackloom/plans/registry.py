@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import boxes as B
-from ..operators import catalog, diff, intervals, runs, stages, stats, structure, tensor, tracking
-from ..sources.detections import DET_SQL, EV_SQL, detections, table, timeline
+from ..operators import catalog, diff, intervals, review, runs, stages, stats, structure, tensor, tracking
+from ..sources.detections import DET_SQL, EV_SQL, detections, sample_times, table, timeline
+from ..streaming import live
 
 RULES = [("label_a", "label_b", 0.3, 0.1), ("label_c", "label_b", 0.4, 0.2)]
 FRAME = 500.0 * 460.0
@@ -317,6 +318,116 @@ def cut_detector(spark, sf):
     return tensor.cuts(h, 0.38).groupBy(F.col("entity_id").alias("label")).agg(F.count("*").alias("cuts"))
 
 
+@query(f"""{_AB} d AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM det WHERE pos % 3 = 2),
+ h AS (SELECT a.id, d.class_id AS rule, count(*) AS n FROM a JOIN d ON a.entity_id = d.entity_id AND d.sample_index BETWEEN a.sample_index - 3 AND a.sample_index + 3 AND d.t >= a.t - 0.2 AND d.t <= a.t + 0.2
+ AND d.cx BETWEEN a.x AND a.x + a.w AND d.cy BETWEEN a.y AND a.y + a.h GROUP BY 1, 2), p AS (SELECT id, rule, row_number() OVER (PARTITION BY id ORDER BY n DESC, rule) AS r FROM h)
+ SELECT a.class_id, coalesce(p.rule, 'tracking') AS cause, count(*) AS n FROM a LEFT JOIN p ON a.id = p.id AND p.r = 1 GROUP BY 1, 2""")
+def cause_attribution(spark, sf):
+    dropped = detections(spark, sf).where("pos % 3 = 2").withColumnRenamed("class_id", "rule")
+    return review.causes(_boxes(spark, sf, 0), dropped).groupBy("class_id", "cause").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_AB} h AS (SELECT DISTINCT a.id FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 < b.t + 0.2 AND b.t - 0.2 < a.t + 0.2
+ AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h) SELECT class_id, count(*) AS n FROM a WHERE id IN (SELECT id FROM h) GROUP BY 1""")
+def nearby_boxes(spark, sf):
+    return review.nearby(_boxes(spark, sf, 0), _boxes(spark, sf, 1)).groupBy("class_id").agg(F.count("*").alias("n"))
+
+
+@query(""", a AS (SELECT * FROM ev WHERE event_id % 2 = 0), b AS (SELECT * FROM ev WHERE event_id % 2 = 1)
+ SELECT entity_id, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entity_id = a.entity_id AND a.t < b.t + 3000 AND b.t < a.t + 3000) GROUP BY 1""", "ev")
+def events_only_in_first(spark, sf):
+    half = lambda k: timeline(spark, sf).where(F.col("event_id") % 2 == k).select(F.col("event_id").alias("id"), "entity_id", F.col("t").alias("start"), (F.col("t") + 3000).alias("stop"))
+    return review.only_in_first(half(0), half(1), ["entity_id"], 6000.0).groupBy("entity_id").agg(F.count("*").alias("n"))
+
+
+@query(""", m AS (SELECT entity_id, unnest(range(floor(max(t))::BIGINT + 1)) AS i FROM det GROUP BY 1), h AS (SELECT m.entity_id, m.i, count(*) AS live FROM m JOIN det a ON a.entity_id = m.entity_id AND a.pos % 3 = 0
+ AND a.sample_index BETWEEN m.i * 10 - 5 AND m.i * 10 + 5 AND a.t - 0.2 <= m.i AND m.i <= a.t + 0.2 GROUP BY 1, 2) SELECT entity_id, sum(live)::BIGINT AS total, max(live) AS most FROM h GROUP BY 1""")
+def live_history(spark, sf):
+    last = detections(spark, sf).groupBy("entity_id").agg(F.floor(F.max("t")).alias("last"))
+    grid = last.select("entity_id", F.explode(F.expr("sequence(0L, last)")).alias("i")).select("entity_id", F.col("i").cast("double").alias("t"))
+    return review.live_history(grid, _boxes(spark, sf, 0), ["entity_id"]).groupBy("entity_id").agg(F.sum("live").alias("total"), F.max("live").alias("most"))
+
+
+@query("SELECT CASE WHEN t > 60 THEN 'pending' WHEN t + 30 > 60 THEN 'live' ELSE 'past' END AS state, count(*) AS n FROM det GROUP BY 1")
+def live_states(spark, sf):
+    return detections(spark, sf).groupBy(review.live_state(F.col("t"), F.col("t") + 30, 60.0).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(""", w AS (SELECT entity_id, label, count(*) AS n FROM ev GROUP BY 1, 2) SELECT entity_id, count(*) AS tracks, sum(n)::BIGINT AS samples FROM w WHERE n > 1 GROUP BY 1""", "ev")
+def motion_index(spark, sf):
+    out = review.motion_index(timeline(spark, sf), ["entity_id", "label"])
+    return out.groupBy("entity_id").agg(F.count_if(F.col("place") == 1).alias("tracks"), F.count("*").alias("samples"))
+
+
+@query(""", i AS (SELECT entity_id, label, t AS s, t + 1000 AS e FROM ev), m AS (SELECT *, max(e) OVER (PARTITION BY entity_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM i)
+ SELECT entity_id, label, count(*) FILTER (p IS NULL OR s - p >= 50000) AS merged FROM m GROUP BY 1, 2""", "ev")
+def gap_joined_events(spark, sf):
+    spans = timeline(spark, sf).select("entity_id", "label", F.col("t").alias("start"), (F.col("t") + 1000).alias("stop"))
+    return intervals.islands(spans, ["entity_id", "label"], gap=50000.0, strict=True).groupBy("entity_id", "label").agg(F.count("*").alias("merged"))
+
+
+@query(f""", s AS (SELECT class_id, list_sort(list(w * h / {FRAME}::DOUBLE)) AS a, list_sort(list(w / h)) AS r FROM det GROUP BY 1)
+ SELECT class_id, len(a) AS n, round(a[round_even(0.01 * (len(a) - 1), 0)::INT + 1] / 1.1, 6) AS area_lo, round(a[round_even(0.99 * (len(a) - 1), 0)::INT + 1] * 1.1, 6) AS area_hi,
+ round(r[round_even(0.01 * (len(r) - 1), 0)::INT + 1] / 1.1, 6) AS aspect_lo, round(r[round_even(0.99 * (len(r) - 1), 0)::INT + 1] * 1.1, 6) AS aspect_hi FROM s""")
+def geometry_bounds(spark, sf):
+    return review.geometry_bounds(detections(spark, sf), FRAME).withColumns({c: r6(c) for c in ("area_lo", "area_hi", "aspect_lo", "aspect_hi")})
+
+
+@query("""SELECT class_id, v[round_even(0.25 * (len(v) - 1), 0)::INT + 1] AS start_at, round((v[round_even(0.25 * (len(v) - 1), 0)::INT + 1] + 0.12) / 2, 6) AS continue_at FROM (SELECT class_id, list_sort(list(score)) AS v FROM det GROUP BY 1)""")
+def hysteresis_suggestion(spark, sf):
+    return review.hysteresis(detections(spark, sf), 0.12).withColumn("continue_at", r6("continue_at"))
+
+
+@query("""SELECT CASE WHEN u < 1 THEN 'bar' WHEN u < 4 THEN 'blur' ELSE 'sticker' END AS style, count(*) AS n FROM (SELECT ('0x' || left(md5(o_orderkey::VARCHAR), 8))::BIGINT / 4294967296.0::DOUBLE * 5 AS u FROM orders) GROUP BY 1""", "")
+def style_draw(spark, sf):
+    style = review.style_draw(F.col("o_orderkey").cast("string"), [("bar", 1.0), ("blur", 3.0), ("sticker", 1.0)])
+    return table(spark, sf, "orders").groupBy(style.alias("style")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 5", "")
+def subset_of_each(spark, sf):
+    return review.first_of_each(table(spark, sf, "orders"), "o_orderpriority", ["o_orderdate", "o_orderkey"], 5).select("o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT o_custkey, round(p / w, 6) AS share FROM (SELECT o_custkey, sum((o_orderstatus = 'F')::INT)::DOUBLE AS p, count(*)::DOUBLE AS w FROM orders GROUP BY 1) WHERE w >= 5 AND p > 0 ORDER BY p / w DESC, o_custkey LIMIT 10""", "")
+def top_by_share(spark, sf):
+    failed = (F.col("o_orderstatus") == "F").cast("int")
+    return review.top_by_share(table(spark, sf, "orders"), "o_custkey", failed.cast("double"), F.lit(1.0), 5.0, 10).withColumn("share", r6("share"))
+
+
+@query("""WITH o AS (SELECT row_number() OVER () AS r, o_custkey, o_orderstatus, epoch(o_orderdate)::BIGINT AS tm FROM orders), f AS (SELECT f.r, f.o_custkey, f.tm, min(s.tm) AS again FROM o f LEFT JOIN o s ON s.o_custkey = f.o_custkey AND s.o_orderstatus <> 'F' AND s.tm > f.tm WHERE f.o_orderstatus = 'F' GROUP BY 1, 2, 3)
+ SELECT o_custkey, count(*) AS failures, count(again) AS recovered, coalesce(sum(again - tm), 0)::BIGINT AS waited FROM f GROUP BY 1""", "")
+def later_success(spark, sf):
+    o = table(spark, sf, "orders").withColumn("at", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    found = runs.later_success(o, ["o_custkey"], "at", F.col("o_orderstatus") == "F")
+    return found.groupBy("o_custkey").agg(F.count("*").alias("failures"), F.count("recovered_at").alias("recovered"), F.coalesce(F.sum(F.col("recovered_at") - F.col("at")), F.lit(0)).alias("waited"))
+
+
+@query("""SELECT e.k AS entity_id, r.i::INT AS i, CASE WHEN r.i = 0 THEN 0 ELSE floor(r.i / 10.0::DOUBLE * 29.97::DOUBLE) END::BIGINT AS frame FROM (SELECT n_nationkey AS k FROM nation) e JOIN range(60) r(i) ON r.i < 20 + e.k""", "")
+def sample_grid(spark, sf):
+    e = table(spark, sf, "nation").select(F.col("n_nationkey").alias("entity_id"), (F.col("n_nationkey") + 20).alias("n"), F.lit(10.0).alias("fps"), F.lit(29.97).alias("native_fps"))
+    return sample_times(e).select("entity_id", "i", "frame")
+
+
+@query("""SELECT class_id, size, CASE WHEN class_id = 'label_a' AND size = 320 THEN 0.5 WHEN class_id = 'label_a' THEN 0.4 WHEN size = 640 THEN 0.3 ELSE 0.35 END::DOUBLE AS setting, count(*) AS n FROM det GROUP BY 1, 2, 3""")
+def settings_resolution(spark, sf):
+    d = detections(spark, sf).withColumn("variant", F.concat_ws("/", "class_id", F.col("size").cast("string"))).withColumn("backend", F.col("size").cast("string"))
+    setting = F.coalesce(review.resolved(d, "variant", [{"label_a/320": 0.5}], None), review.resolved(d, "class_id", [{"label_a": 0.4}], None), review.resolved(d, "backend", [{"640": 0.3}], 0.35))
+    return d.groupBy("class_id", "size", setting.alias("setting")).agg(F.count("*").alias("n"))
+
+
+@query(""", w AS (SELECT entity_id, label, lag(label) OVER (PARTITION BY entity_id ORDER BY t) AS p FROM ev) SELECT entity_id, count(*) FILTER (p IS NULL OR p <> label) AS changes FROM w GROUP BY 1""", "ev")
+def stream_changes(spark, sf):
+    out = live.available_now(live.changed(live.event_stream(spark, sf), "entity_id", "at", "label"))
+    return out.groupBy("entity_id").agg(F.count("*").alias("changes"))
+
+
+@query("""SELECT user_id AS entity_id, epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS window_start, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""", "")
+def stream_windows(spark, sf):
+    out = live.available_now(live.windowed(live.event_stream(spark, sf), ["entity_id"], "at", "1 day", "1 hour"))
+    return out.select("entity_id", F.unix_seconds("window_start").alias("window_start"), "n")
+
+
 @query()
 def nms(spark, sf):
     return tensor.nms(detections(spark, sf), ["entity_id", "sample_index", "class_id"], 0.4).groupBy("entity_id", "class_id").agg(F.count("*").alias("kept"))

@@ -5,10 +5,12 @@ Late rows beyond the watermark are dropped; that is this engine's own rule.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def changed(stream: DataFrame, key: str, at: str, content: str, delay: str = "10 seconds", quiet_ms: int = 60_000) -> DataFrame:
@@ -47,6 +49,23 @@ def windowed(stream: DataFrame, keys: list[str], at: str, window: str, delay: st
     return stream.withWatermark(at, delay).groupBy(*keys, F.window(at, window).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("window_start"), "n")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of (entity_id, at, label, value); the brackets make the path a pattern, which a file source wants."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return raw.select(F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("label"), "value")
+
+
+def available_now(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there, as checkpointed micro-batches into a table of the shared folder, and read that."""
+    spark = stream.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-stream-"))
+    top = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start(f"{top}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows")
+
+
 def slots(boxes: str, most: int = 2000):
     """The first `most` boxes of a record; the rest is dropped."""
     return F.slice(boxes, 1, most)
