@@ -7,11 +7,15 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Removes the shuffle files of a query when it ends; the plan alone knows them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, as a zip that Spark itself distributes."""
@@ -35,16 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Plans made in this block lose their shuffle files as soon as they end: else these stay on the executors' disks until the
+    driver's garbage collector happens to run. What a retried stage still needs is made again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what several branches read: it is computed once and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/trackloom-table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
