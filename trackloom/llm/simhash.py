@@ -15,12 +15,15 @@ without doc_id links others but is never a component's smallest id (its own is n
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import checkpointed, map_batches, texts
+from .common import checkpointed, map_batches, texts, written
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -133,10 +136,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_diff: int = 2, text: st
 # --- Pipeline: near-duplicates by five-word shingles, similarity 0.8 -------------------------------------------------------
 
 
-def word_rings(text: str, n: int) -> list[int]:
-    """n fingerprints of the set of a text's words. A text that shares 0.8 of its five-word shingles shares nearly all its words."""
-    words = list(set(text.encode("utf-8", "replace").lower().split()))
-    return [signed(fingerprint(words, seed)) for seed in range(n)]
+#: Texts looked at for the order of shingles, and shingles that are known as common ones. Any order gives the same result; this one keeps buckets small.
+ORDER_TEXTS, COMMON = 4_000, 1 << 16
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -144,36 +145,59 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.unique(np.array([digest(x) for x in shingles(text, size)], dtype=np.uint64))
 
 
-def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, rings: int = 3, equal_segments: int = 6, text: str = "text", key: str = "doc_id") -> DataFrame:
+def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set in the one order all texts share: unknown shingles by hash, then the common ones by rising frequency."""
+    if not common.size or not hashes.size:
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+    return hashes[np.argsort(np.where(common[at] == hashes, ranks[at], -1), kind="stable")]
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of at least this similarity share an element of their first so many, in any common order."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, hub_rounds: int = 4, hubs: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The same columns; of each group of near-duplicates the row with the smallest doc_id (nulls last) stays.
 
-    Candidates share a chain of equal_segments segments (24 bits) in one of `rings` word-set rings; each bucket links its
-    members to one of them, which the bucket draws, so no bucket is paired and members of a large group meet several others.
-    Linked texts are compared by exact Jaccard similarity of their shingle sets. Texts without words count as equal.
+    Candidates are exact: texts are dealt to a bucket for each shingle of their prefix in an order common to all texts. In rounds,
+    the members of a bucket of more than BUCKET are compared with up to `hubs` of them, others each time, which joins large groups;
+    then every pair of a bucket that isn't joined or compared yet and whose sizes and places in the prefix still allow the
+    similarity. A pair that is joined already can't change the groups.
+    Texts are compared by exact Jaccard similarity of their shingle sets. Texts without words count as equal.
     """
     cols = df.columns
     rows = df.select("*", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tl_h"), F.xxhash64(F.reverse(F.coalesce(F.col(text), F.lit("")))).alias("_tl_g"))
     body = rows.groupBy("_tl_h", "_tl_g").agg(F.min(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).alias("id"), F.count("*").alias("n"))
-    src = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_tl_h").alias("h"), F.col("_tl_g").alias("g"), F.col(text).alias("text"))
-
-    def rings_of(b: pa.RecordBatch) -> dict:
-        return {"h": b.column(1), "g": b.column(2), "rings": pa.array([word_rings(t, rings) for t in texts(b, "text")], pa.list_(pa.int64()))}
-
-    marks = map_batches(src, rings_of, "h long, g long, rings array<long>").groupBy("h").agg(F.first("rings").alias("rings"))
-    marks = checkpointed(marks)  # one row a text; a text's hash is its node in the graph
-    turns = marks.select(F.col("h").alias("id"), F.posexplode("rings").alias("r", "fp")).select("id", "r", "fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i"))
-    keyed = turns.select("id", (F.shiftrightunsigned(rotated(F.col("fp"), F.col("i")), 64 - equal_segments * WIDTH) * (SEGMENTS * rings) + F.col("r") * SEGMENTS + F.col("i")).alias("bucket"))
-    drawn = keyed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id"), "id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("hub.id").alias("hub"))
-    pairs = checkpointed(keyed.join(drawn, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    src = rows.select(F.col("_tl_h").alias("h"), F.col(text).alias("text"))
+
+    def hashes_of(b: pa.RecordBatch) -> dict:
+        return {"s": pa.array([shingle_hashes(t, shingle).view(np.int64) for t in texts(b, "text")], pa.list_(pa.int64()))}
+
+    some = src.where(F.pmod("h", F.lit(max(1, df.count() // ORDER_TEXTS))) == 0).dropDuplicates(["h"])
+    seen = map_batches(some, hashes_of, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    seen = sorted((r["s"] % (1 << 64), r["n"]) for r in seen.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    common, ranks = np.array([x for x, _ in seen], np.uint64), np.array([n for _, n in seen], np.int64)
+
+    def prefixes_of(b: pa.RecordBatch) -> dict:
+        first, sizes = [], []
+        for t in texts(b, "text"):
+            x = rare_first(shingle_hashes(t, shingle), common, ranks)
+            sizes.append(x.size)
+            first.append(x[: prefix_length(x.size, similarity)].view(np.int64) if x.size else np.zeros(1, np.int64))
+        return {"h": b.column(0), "size": pa.array(sizes, pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64()))}
+
+    # a text's hash is its node in the graph; copies give the same postings, so they are taken out on few columns
+    once = written(rows.select(F.col("_tl_h").alias("h"), F.col(text).alias("text")).dropDuplicates(["h"]))
+    dealt = map_batches(once, prefixes_of, "h long, size int, prefix array<long>").select("h", "size", F.posexplode("prefix").alias("at", "s"))
+    posts = written(dealt)
+    met = posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    posts = written(posts.join(met, "s"))
 
     def sets_of(b: pa.RecordBatch) -> dict:
         return {"h": b.column(0), "set": pa.array([shingle_hashes(t, shingle).tobytes() for t in texts(b, "text")], pa.binary())}
 
-    once = src.join(ends, "h", "left_semi").select("h", "text").dropDuplicates(["h"])
-    sets = checkpointed(map_batches(once, sets_of, "h long, set binary"))
-    joined = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
-
     def alike(b: pa.RecordBatch) -> dict:
         names = b.schema.names
         ok = []
@@ -183,8 +207,36 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
             ok.append(both >= similarity * (p.size + q.size - both))
         return {"a": b.column(names.index("a")), "b": b.column(names.index("b")), "ok": pa.array(ok, pa.bool_())}
 
-    true_links = map_batches(joined.select("a", "b", "x", "y"), alike, "a long, b long, ok boolean").where("ok")
-    groups = connected_components(true_links)
+    tried: list[DataFrame] = []
+
+    def true_ones(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        pairs = checkpointed(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else pairs)
+        tried.append(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+        sets = written(map_batches(once.join(ends, "h", "left_semi").select("h", "text"), sets_of, "h long, set binary"))
+        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
+        return checkpointed(map_batches(both.select("a", "b", "x", "y"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
+
+    # what a pair must still be able to share, at the first shingle that both have
+    least = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
+    fits = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= least
+    ends_of = (F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
+    hot = posts.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+    found, groups = None, None
+    for k in range(hub_rounds if hot.limit(1).count() else 0, -1, -1):  # the last round, 0, is that of all pairs
+        open_ = posts.withColumn("c", F.col("h")) if groups is None else posts.join(groups.withColumnRenamed("id", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+        mixed = open_.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        x = open_.join(mixed.where(F.col("n") > BUCKET if k else F.lit(True)).select("s"), "s")
+        if k:
+            drawn = F.xxhash64(F.lit(k), F.col("h"))
+            y = x.groupBy("s", F.pmod(drawn, F.lit(hubs)).alias("turn")).agg(F.min(F.struct(drawn, "h", "size", "at", "c")).alias("hub")).select("s", "hub.h", "hub.size", "hub.at", "hub.c")
+        else:
+            x = y = written(x)
+        far = F.col("x.c") != F.col("y.c") if k else F.col("x.c") < F.col("y.c")
+        links = true_ones(x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & far & fits).select(*ends_of))
+        found = links if found is None else found.unionByName(links)
+        groups = checkpointed(connected_components(found))
     named = body.join(groups, body["_tl_h"] == groups["id"], "left").select("_tl_h", "_tl_g", body["id"].alias("id"), "n", F.coalesce("component", "_tl_h").alias("c"))
     best = named.groupBy("c").agg(F.min(F.struct("id", "_tl_h", "_tl_g")).alias("best"), F.max("n").alias("n")).select(F.col("best._tl_h").alias("_tl_h"), F.col("best._tl_g").alias("_tl_g"), F.col("best.id").alias("_tl_id"))
     own = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
