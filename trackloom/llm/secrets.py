@@ -16,6 +16,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,7 +31,17 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+#: A line break as it stands in a text, or escaped (once or more) inside JSON or YAML; \\u000a and the like too.
+_BREAK = r"(?:\s|\\+(?:[nrt]|u000[aAdD9]))"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[A-Za-z0-9+=]|\\*/|" + _BREAK + r"|(?<=[nrdDaA\s])[A-Z][A-Za-z-]{1,30}:\x20?[^\r\n\\]{0,200}(?=[\r\n\\]))+)-----END \1PRIVATE KEY-----")
+PEM_HEADER = re.compile(r"(?m)^[A-Z][A-Za-z-]{1,30}:.*$")
+DEK = re.compile(r"(?m)^DEK-Info:\x20?[A-Z0-9-]+,([0-9A-Fa-f]{16,32})\s*$")
+BREAKS = re.compile(_BREAK)
+#: Lines of base64 of one width and a shorter last one; the breaks may be escaped and indented.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,}(?:(?:[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*)[A-Za-z0-9+/_-]{1,}){1,}={0,2})")
+_WRAP = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*")
+#: Where a key may start inside a run: the first bytes of a DER sequence, of the OpenSSH container, and what follows a separator.
+INSIDE = re.compile(r"M[C-I]|b3BlbnNzaC1rZXktdjEA|(?<=[/_-])")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 #: Signature bytes by algorithm (RFC 7518); others may have any length.
@@ -87,6 +99,8 @@ def private_der(data: bytes) -> bool:
     if not items:
         return False
     tags = [t for t, _ in items]
+    if tags == [2] * 6 and items[0][1] == b"\0":  # DSA: version, p, q, g, public, private
+        return len(items[1][1]) >= 32 and len(items[2][1]) >= 16
     if tags[:9] == [2] * 9:
         return len(items[1][1]) >= 16
     if tags[:3] == [2, 0x30, 4] or tags == [0x30, 4]:
@@ -141,6 +155,69 @@ def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, int, int
     return out
 
 
+def hidden(body: bytes) -> bool:
+    """Decoded bytes that are UTF-8 and hold a base pattern."""
+    try:
+        return bool(base_spans(body.decode("utf-8"), body))
+    except UnicodeDecodeError:
+        return False
+
+
+def structure(body: bytes) -> int | None:
+    """The kind's index of decoded bytes: a key in DER, an OpenSSH container, or text that holds a base pattern."""
+    return 5 if private_der(body) else 6 if openssh_private(body) else 8 if hidden(body) else None
+
+
+def armoured(inside: str) -> bool:
+    """Whether what stands between the marks of a PEM block is a private key; header lines are skipped."""
+    lines = re.sub(r"\\+/", "/", BREAKS.sub(lambda m: m[0] if m[0] in " \t" else "\n", inside))
+    dek = DEK.search(lines)
+    body = unbase64(re.sub(r"\s", "", PEM_HEADER.sub("", lines)))
+    if not body:
+        return False
+    if dek:  # encrypted as a whole: only its length in cipher blocks can be seen
+        return len(body) >= 16 and len(body) % (len(dek[1]) // 2) == 0
+    return private_der(body) or openssh_private(body)
+
+
+def key_inside(run: str) -> tuple[int, int, int] | None:
+    """(start, kind's index, end) of what is confirmed in a base64 run: the whole run, or from a place inside where a key may start."""
+    if (body := unbase64(run)) and (kind := structure(body)) is not None:
+        return 0, kind, len(run)
+    for m in INSIDE.finditer(run, 1):
+        k = m.start()
+        if len(run) - k < 24:
+            break
+        if run.startswith("b3BlbnNz", k):
+            if (body := unbase64(run[k:])) and openssh_private(body):
+                return k, 6, len(run)
+        elif (head := unbase64(run[k : k + 8])) and head[0] == 0x30 and (n := der_length(head)) and head[2 + (head[1] & 0x7F if head[1] & 0x80 else 0)] in (2, 0x30):
+            stop = k + -(-n * 4 // 3)  # the sequence says how long it is, so what follows it in the run doesn't matter
+            body = unbase64(run[k:stop]) if stop <= len(run) else None
+            if body and private_der(body[:n]):
+                return k, 5, stop + len(run[stop:]) * (not run[stop:].strip("="))
+        elif run[k - 1] in "/_-" and utf8_begins(run[k : k + 24]) and (body := unbase64(run[k:])) and hidden(body):
+            return k, 8, len(run)
+    return None
+
+
+def utf8_begins(run: str) -> bool:
+    """Whether 24 characters decode to UTF-8, a last character may be cut: it spares long runs of other data their decoding at each separator."""
+    try:
+        (unbase64(run) or b"\xff").decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start >= 15 and e.reason == "unexpected end of data"
+    return True
+
+
+def der_length(head: bytes) -> int:
+    """The whole length that the first bytes of an element tell, or 0."""
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    more = head[1] & 0x7F
+    return 2 + more + int.from_bytes(head[2 : 2 + more], "big") if 1 <= more <= 3 else 0
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end), in order, of base patterns and of confirmed structures."""
     data = text.encode("utf-8", "surrogatepass")
@@ -148,23 +225,25 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if b"eyJ" in data:
         out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
     if b"PRIVATE KEY-----" in data:
-        for m in PEM.finditer(text):
-            body = unbase64(re.sub(r"\s", "", m[2]))
-            if body and (private_der(body) or openssh_private(body)):
-                out.append((m.start(), 4, m.end()))
+        out += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if armoured(m[2])]
     if b"\1" * 24 in data.translate(_IS_B64):
+        whole = []
+        for m in WRAPPED.finditer(text):
+            parts, at = [], m.start()
+            for w in [*_WRAP.finditer(text, m.start(), m.end()), None]:
+                parts.append((at, text[at : w.start() if w else m.end()]))
+                at = w.end() if w else at
+            joined_up = "".join(p for _, p in parts)
+            if found := key_inside(joined_up):
+                ends = list(accumulate(len(p) for _, p in parts))
+                place = lambda k: (j := bisect_right(ends, k), parts[j][0] + k - (ends[j] - len(parts[j][1])))[1]
+                whole.append((place(found[0]), found[1], place(found[2] - 1) + 1))
+        out += whole
         for m in B64.finditer(text):
-            body = unbase64(m[0])
-            if not body:
-                continue
-            if private_der(body):
-                out.append((m.start(), 5, m.end()))
-            elif openssh_private(body):
-                out.append((m.start(), 6, m.end()))
-            elif body.isascii() and base_spans(body.decode("ascii"), body):
-                out.append((m.start(), 8, m.end()))
+            if (found := key_inside(m[0])) and not any(a <= m.start() + found[0] and m.start() + found[2] <= b for a, _, b in whole):
+                out.append((m.start() + found[0], found[1], m.start() + found[2]))
         for m in HEXKEY.finditer(text):
-            if len(m[0]) % 2 == 0 and (private_der(body := bytes.fromhex(m[0])) or openssh_private(body) or body.isascii() and base_spans(body.decode("ascii"), body)):
+            if len(m[0]) % 2 == 0 and structure(bytes.fromhex(m[0])) is not None:
                 out.append((m.start(), 7, m.end()))
     return sorted(out)
 
