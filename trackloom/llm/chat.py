@@ -98,8 +98,13 @@ def position_ids(segments: list[dict]) -> list[int]:
     return [s["position"] + k for s in segments for k in range(s["stop"] - s["start"])]
 
 
-def pack_conversations(df: DataFrame, most_chars: int = 1 << 16, most_conversations: int = 64) -> DataFrame:
-    """Packs of neighbouring conversations (schema PACK). A conversation longer than most_chars is a pack of its own."""
+#: What a conversation's entry in a pack counts for, in characters, besides the turns that it adds.
+ENTRY = 16
+
+
+def pack_conversations(df: DataFrame, most_chars: int = 1 << 16) -> DataFrame:
+    """Packs of neighbouring conversations (schema PACK). A pack holds its first conversation, of any length, and as many more as add
+    at most most_chars to its tree: turns shared with the neighbour before add nothing."""
     ship(df.sparkSession)
     rows = conversations(df)
     # ties on the whole path are broken by conv_id, so a conversation that is said very often is many keys
@@ -110,25 +115,31 @@ def pack_conversations(df: DataFrame, most_chars: int = 1 << 16, most_conversati
 
         part, made = TaskContext.get().partitionId(), 0
         held: list = []
-        size = 0
+        size, before = 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, made
+            nonlocal held, size, made, before
             if held:
                 pack = tree(held) | {"pack": (part << 32) + made}
                 made += 1
                 yield pa.RecordBatch.from_pylist([pack], schema=SCHEMA)
-            held, size = [], 0
+            held, size, before = [], 0, []
 
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 for r in b.slice(k, 256).to_pylist():
                     turns = [(t["role"], t["text"]) for t in r["turns"]]
-                    n = sum(len(t) + len(a) for a, t in turns)
-                    if held and (size + n > most_chars or len(held) >= most_conversations):
+                    same = 0
+                    while same < min(len(turns), len(before)) and turns[same] == before[same]:
+                        same += 1
+                    n = ENTRY + sum(len(t) + len(a) for a, t in turns[same:])
+                    if held and size + n > most_chars:
                         yield from flush()
+                        same = 0
+                    turns[:same] = before[:same]  # shared turns are held once
+                    size += n if held else 0
                     held.append((r["conv_id"], turns))
-                    size += n
+                    before = turns
         yield from flush()
 
     return rows.mapInArrow(run, PACK)
