@@ -348,6 +348,36 @@ def live_history(spark, sf):
     return review.live_history(grid, _boxes(spark, sf, 0), ["entity_id"]).groupBy("entity_id").agg(F.sum("live").alias("total"), F.max("live").alias("most"))
 
 
+def _side(spark, sf, size: int | None = None):
+    """Boxes of all detections, or of one size: the sides of a comparison by a column of the table."""
+    d = detections(spark, sf) if size is None else detections(spark, sf).where(F.col("size") == size)
+    return d.select((F.col("sample_index") * 16000 + F.col("entity_id") * 1000 + F.col("pos")).alias("id"), "entity_id", "class_id", (F.col("t") - 0.2).alias("start"), (F.col("t") + 0.2).alias("stop"), "x", "y", "w", "h")
+
+
+_SIZES = _AB.replace("pos % 3 = 0", "size = 320").replace("pos % 3 = 1", "size = 640")
+
+
+@query(f"""{_SIZES} h AS (SELECT a.id AS ai, b.id AS bi FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 <= b.t + 0.2 AND b.t - 0.2 <= a.t + 0.2 AND {_IOU} >= 0.3),
+ l AS (SELECT entity_id, count(*) FILTER (id IN (SELECT ai FROM h)) AS in_both, count(*) FILTER (id NOT IN (SELECT ai FROM h)) AS current_only FROM a GROUP BY 1), r AS (SELECT entity_id, count(*) FILTER (id NOT IN (SELECT bi FROM h)) AS proposed_only FROM b GROUP BY 1)
+ SELECT coalesce(l.entity_id, r.entity_id) AS entity_id, coalesce(in_both, 0) AS in_both, coalesce(current_only, 0) AS current_only, coalesce(proposed_only, 0) AS proposed_only FROM l FULL JOIN r ON l.entity_id = r.entity_id""")
+def ab_diff_by_size(spark, sf):
+    return diff.ab_diff(_side(spark, sf, 320), _side(spark, sf, 640))
+
+
+@query(f"""{_SIZES} h AS (SELECT DISTINCT a.id FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 < b.t + 0.2 AND b.t - 0.2 < a.t + 0.2
+ AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h) SELECT class_id, count(*) AS n FROM a WHERE id IN (SELECT id FROM h) GROUP BY 1""")
+def nearby_boxes_by_size(spark, sf):
+    return review.nearby(_side(spark, sf, 320), _side(spark, sf, 640)).groupBy("class_id").agg(F.count("*").alias("n"))
+
+
+@query(""", m AS (SELECT entity_id, unnest(range(floor(max(t))::BIGINT + 1)) AS i FROM det GROUP BY 1), h AS (SELECT m.entity_id, m.i, count(*) AS live FROM m JOIN det a ON a.entity_id = m.entity_id
+ AND a.sample_index BETWEEN m.i * 10 - 5 AND m.i * 10 + 5 AND a.t - 0.2 <= m.i AND m.i <= a.t + 0.2 GROUP BY 1, 2) SELECT entity_id, sum(live)::BIGINT AS total, max(live) AS most FROM h GROUP BY 1""")
+def live_history_all(spark, sf):
+    last = detections(spark, sf).groupBy("entity_id").agg(F.floor(F.max("t")).alias("last"))
+    grid = last.select("entity_id", F.explode(F.expr("sequence(0L, last)")).alias("i")).select("entity_id", F.col("i").cast("double").alias("t"))
+    return review.live_history(grid, _side(spark, sf), ["entity_id"]).groupBy("entity_id").agg(F.sum("live").alias("total"), F.max("live").alias("most"))
+
+
 @query("SELECT CASE WHEN t > 60 THEN 'pending' WHEN t + 30 > 60 THEN 'live' ELSE 'past' END AS state, count(*) AS n FROM det GROUP BY 1")
 def live_states(spark, sf):
     return detections(spark, sf).groupBy(review.live_state(F.col("t"), F.col("t") + 30, 60.0).alias("state")).agg(F.count("*").alias("n"))
