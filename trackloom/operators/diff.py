@@ -1,4 +1,4 @@
-"""Comparing runs: coverage joins, A/B differences, coverage change, nearest pairing and replay decisions."""
+"""Comparing runs: coverage joins, A/B differences, coverage change and common keys. Nearest pairing (J11) and replay decisions are not built."""
 
 from __future__ import annotations
 
