@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -32,10 +34,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set and Spark runs in this one process, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -66,6 +71,68 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def entry_bytes(key, value) -> int:
+    """About what an entry of a dictionary takes, its slot included."""
+    return 120 + sys.getsizeof(key) + (sum(map(sys.getsizeof, value)) + 60 if isinstance(value, tuple) else sys.getsizeof(value))
+
+
+class Recent(dict):
+    """A dictionary of at most `most` bytes, by entry_bytes: when its younger half is full it takes the place of the older one, which is forgotten.
+
+    Keys of more than 256 letters aren't remembered.
+    """
+
+    def __init__(self, make: Callable | None = None, most: int = 48 << 20):
+        super().__init__()
+        self.make, self.most, self.older, self.bytes = make, most, {}, 0
+
+    def put(self, key, value) -> None:
+        if len(key) > 256:
+            return
+        self.bytes += entry_bytes(key, value)
+        if 2 * self.bytes > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = entry_bytes(key, value)
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def of(self, keys: set, make_all: Callable[[list], list]) -> dict:
+        """A dictionary of these keys; what isn't remembered is made together."""
+        out, new = {}, []
+        for k in keys:
+            value = self.get(k)
+            if value is None:
+                value = self.older.get(k)
+                if value is None:
+                    new.append(k)
+                    continue
+                self.put(k, value)
+            out[k] = value
+        for k, value in zip(new, make_all(new)):
+            self.put(k, value)
+            out[k] = value
+        return out
+
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """The one thing that a worker process keeps between batches and tasks; asking for another one forgets it."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD.update(value=make(), key=key)
+    return _HELD["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,6 +150,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
             for part in pieces(b):
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
     return df.mapInArrow(run, schema)
 

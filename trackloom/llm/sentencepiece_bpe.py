@@ -19,13 +19,14 @@ import heapq
 import math
 import os
 import re
+from array import array
 from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import Recent, held, map_batches, texts
 
 MARK = "▁"
 #: What the table holds for the empty prefix.
@@ -33,27 +34,11 @@ FIRST = 1 << 30
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
-class Words(dict):
-    """ids of words, and the ids as text, made when first asked for. Past `most` words it starts anew; long words aren't kept."""
-
-    def __init__(self, model: Model, most: int):
-        super().__init__()
-        self.model, self.most = model, most
-
-    def __missing__(self, w: str) -> tuple[tuple[int, ...], str]:
-        ids = self.model.word(w)
-        found = ids, ",".join(map(str, ids))
-        if len(w) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[w] = found
-        return found
-
-
 class Model:
     """What the encoder needs of a model file: pieces and scores, the automaton, and tables of decided pairs and known words."""
 
-    def __init__(self, path: str, words: int = 1_000_000, pairs: int = 2_000_000):
+    def __init__(self, path: str, words: int = 40 << 20, pairs: int = 200_000):
+        """words: bytes of remembered words; pairs: how many decided pairs are remembered."""
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,7 +63,7 @@ class Model:
         self.auto.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.words = Words(self, words)
+        self.words = Recent(self.ids_and_text, words)
         self.most_pairs = pairs
         cut = re.escape("".join(c for c in "\n\t\r" if c not in self.chars))
         #: Words with the spaces before them; characters that have no piece stand alone.
@@ -175,6 +160,8 @@ class Model:
                 fit = pairs[key] = self.fits(-1 if before == FIRST else before, i)
             if fit:
                 last[end], size[end] = i, k
+        if last[n] == -1:
+            raise AssertionError("a prefix has no last token")
         out, at = [], n
         while at:
             out.append(last[at])
@@ -182,10 +169,14 @@ class Model:
         return out[::-1]
 
     def word(self, w: str) -> tuple[int, ...]:
-        """ids of a word with its leading spaces; long words aren't remembered."""
+        """ids of a word with its leading spaces."""
         s = w.replace(" ", MARK)
         return tuple(self.known_runs(s, self.merge if s.startswith(MARK * 2) else self.table))
 
+    def ids_and_text(self, w: str) -> tuple[array, str]:
+        ids = array("i", self.word(w))
+        return ids, ",".join(map(str, ids))
+
     def known_runs(self, s: str, encode) -> list[int]:
         if self.chars.issuperset(s):
             return encode(s)
@@ -215,19 +206,14 @@ class Model:
         return self.lib.decode(ids)
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def model_of(path: str) -> Model:
     """One model a worker process. path: a file, or the name of one of the installed public tokenizers."""
-    if path not in _MODELS:
-        real = path
-        if not os.path.exists(path):
-            import public_tokenizers
-
-            real = public_tokenizers.path(path)
-        _MODELS[path] = Model(real)
-    return _MODELS[path]
+    real = path
+    if not os.path.exists(path):
+        import public_tokenizers
+
+        real = public_tokenizers.path(path)
+    return held(("sentencepiece", path), lambda: Model(real))
 
 
 def encode_documents(df: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

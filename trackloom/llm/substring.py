@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_batches, ship, written
+from .common import Recent, checkpointed, held, map_batches, ship, written
 
 GRAM = 16
 HOT = 50_000
@@ -35,19 +35,6 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _MINV = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, made when first asked for; emptied when large."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(w, 11)
-        if len(w) <= 64:
-            self[w] = h
-        return h
-
-
-_WORDS = _Hashes()
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -63,7 +50,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words; the worker remembers those it has met."""
+    known = held("word hashes", lambda: Recent(lambda w: xxhash.xxh64_intdigest(w, 11)))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
