@@ -1,15 +1,19 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
-
-The kernel of two words counts common subsequences of LENGTH letters, each weighted by DECAY to the power of the letters it
-spans in both words, normalised by the words' own kernels; inserted characters and gaps lower a match but don't end it.
-A labelled sentence is a bag of words and its label a label of the bag: a toxic sentence has a word to show for it. The
-machine is trained on such witnesses (chosen by how much oftener toxic documents hold them, then chosen anew by the machine
-itself) against words of clean documents. A text's score comes from its most suspicious words, calibrated on the training
-documents. Each worker remembers words it has scored.
-
-Fitting uses at most SAMPLE documents of each label, the first by a hash of doc_id; scoring covers whole texts. Null
-and empty texts have no words and get the calibrated score of none. Labels that are null, or that contradict each other for a
-doc_id, are not learnt from. Without labels of both kinds all scores are 0.
+"""Toxicity by a subsequence string kernel over sentences, Nyström landmarks and a linear support vector machine.
+
+The kernel of two strings counts common subsequences of LENGTH letters, each weighted by DECAY to the power of the letters it
+spans in both, normalised by the strings' own kernels and raised to POWER; inserted characters and gaps lower a match but don't end
+it. Words begin with a mark, so that their starts count. The kernel of two sentences is the sum of this kernel over the pairs of
+their words. With landmarks (short strings of the labelled sentences: those that tell the labels apart, and others) a sentence is
+the sum of its words' Nyström features, and the machine is a linear one on sentences.
+
+It is trained on sentences: those of toxic documents against those of clean ones. A toxic document need have only some toxic
+sentences, so the machine then chooses anew which of them it is trained on (each document keeps its most suspicious one).
+A document's score is a logistic function of its sentences' values, fitted on documents that the machine hadn't seen (FOLDS).
+
+Fitting uses at most SAMPLE documents of each label, the first by a hash of doc_id, of at most MOST_CHARS characters; of several rows
+with one doc_id one is learnt from. Scoring covers whole texts. Null and empty texts have no sentences and get the score of none.
+Labels that are null, or that contradict each other for a doc_id, are not learnt from. Without labels of both kinds all
+scores are 0. Repeated rows get equal scores; an empty table gives an empty result. Columns may have any other names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, texts
+from .common import Recent, held, map_batches, texts
 
-LENGTH, DECAY = 3, 0.6
-#: Documents of each label that are learnt from, those of them used to calibrate, and landmarks.
-SAMPLE, CALIBRATION, LANDMARKS = 1200, 500, 40
-LETTERS, STEP = 20, 10
+LENGTH, DECAY, POWER = 3, 0.6, 2
+#: Documents of each label that are learnt from and the characters these may have; documents of each label and fold that calibrate; landmarks.
+SAMPLE, MOST_CHARS, CALIBRATION, LANDMARKS, FOLDS = 1200, 60_000, 250, 64, 2
+#: Letters of a word that are compared at once, the step to the next such window, words of a sentence at most, letters of a landmark.
+LETTERS, STEP, WORDS, GRAMS = 20, 10, 12, (4, 5, 6, 7, 8)
+START = "^"
 #: Runs of single letters set apart ("i d i o t"), read as one word.
 SPACED = re.compile(r"(?<!\S)\w(?:[ .*_-]+\w(?!\w)){2,}(?!\S)")
 _NOISE = re.compile(r"[\W\d_]+")
@@ -50,7 +56,7 @@ def kernel(words: list[str], against: list[str] | None) -> np.ndarray:
     s = codes(words).T  # letters x words
     t = (codes(words)[:, None, :] if against is None else codes(against)[None, :, :])
     shape = (len(words), t.shape[1], t.shape[2])
-    total = np.zeros(shape[:2], np.float32)
+    total = np.zeros(shape, np.float32)
     # tail[p][..., j]: sum over i <= here, k < j of matches of length p ending at (i, k), decayed to (here, j)
     tail = [np.zeros((*shape[:2], shape[2] + 1), np.float32) for _ in range(LENGTH - 1)]
     powers = DECAY ** np.arange(shape[2] + 1, dtype=np.float32)
@@ -58,104 +64,89 @@ def kernel(words: list[str], against: list[str] | None) -> np.ndarray:
     for c in s:
         same = ((t == c[:, None, None]) & (c[:, None, None] != 0)).astype(np.float32) * (DECAY * DECAY)
         ended = [same] + [same * tail[p][..., :-1] for p in range(LENGTH - 1)]
-        total += ended[-1].sum(axis=2)
+        total += ended[-1]
         for p in range(LENGTH - 1):
             tail[p] *= DECAY
             tail[p] += (ended[p].reshape(-1, shape[2]) @ spread).reshape(tail[p].shape)
-    return total
+    return total.sum(axis=2)
+
+
+def own_kernel(words: list[str]) -> np.ndarray:
+    return np.sqrt(np.maximum(kernel(words, None)[:, 0], 1e-12))
+
+
+def sentences(text: str) -> list[list[str]]:
+    """Sentences of a whole text as lower-case tokens, cut after WORDS of them; spaced-out words are joined."""
+    low = SPACED.sub(lambda m: _NOISE.sub("", m[0]), text.lower())
+    out = []
+    for s in _SENTENCE.split(low):
+        tokens = s.split()
+        out += [tokens[k : k + WORDS] for k in range(0, len(tokens), WORDS)]
+    return out
+
+
+def words_of(token: str) -> list[str]:
+    """What the kernel compares of a token: its letters after a start mark, at least LENGTH; long ones as overlapping windows."""
+    w = token if token.isalpha() else _NOISE.sub("", token)
+    if len(w) < LENGTH:
+        return []
+    w = START + w
+    return [w] if len(w) <= LETTERS else [w[k : k + LETTERS] for k in range(0, len(w) - STEP, STEP)]
 
 
 @dataclass
 class Model:
     landmarks: list[str] = field(default_factory=list)
+    own: np.ndarray | None = None
     mapping: np.ndarray | None = None  # landmarks -> features
     weights: np.ndarray | None = None
     bias: float = 0.0
-    calibration: tuple[float, ...] = (0.0, 0.0, 0.0)
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-    most_known: int = 1_500_000
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, known={})
+    calibration: tuple[float, ...] = ()
 
     def features(self, words: list[str]) -> np.ndarray:
-        own = np.sqrt(np.maximum(kernel(words, None)[:, 0], 1e-12))
-        return (kernel(words, self.landmarks) / own[:, None] / self.own_landmarks) @ self.mapping
-
-    @property
-    def own_landmarks(self) -> np.ndarray:
-        if "_own" not in self.__dict__:
-            self._own = np.sqrt(np.maximum(kernel(self.landmarks, None)[:, 0], 1e-12))
-        return self._own
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word; words shorter than the kernel's subsequences have none."""
-        out = np.full(len(words), -1.0, np.float32)
-        order = sorted((k for k, w in enumerate(words) if len(w) >= LENGTH), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            out[part] = self.features([words[k] for k in part]) @ self.weights + self.bias
+        return (kernel(words, self.landmarks) / own_kernel(words)[:, None] / self.own) ** POWER @ self.mapping
+
+    def every_feature(self, words: list[str]) -> np.ndarray:
+        """Of words in order of length, some at a time."""
+        return np.vstack([self.features(words[k : k + 512]) for k in range(0, len(words), 512)])
+
+    def values(self, tokens: list[str]) -> list[float]:
+        """What each token adds to its sentence's value."""
+        parts = [words_of(t) for t in tokens]
+        words = sorted({w for p in parts for w in p}, key=len)
+        value = dict(zip(words, (self.every_feature(words) @ self.weights).tolist())) if words else {}
+        return [sum(value[w] for w in p) for p in parts]
+
+    def summaries(self, bodies: list[str], known: Recent) -> list[tuple[float, ...]]:
+        """Of each text the highest sentence value, the mean of the three highest, the sum of those above zero and the number of sentences (logarithms)."""
+        docs = [sentences(t) for t in bodies]
+        value = known.of({t for d in docs for s in d for t in s}, self.values)
+        out = []
+        for d in docs:
+            v = sorted([sum(map(value.__getitem__, set(s))) + self.bias for s in d], reverse=True) or [-1.0]
+            out.append((v[0], sum(v[:3]) / len(v[:3]), float(np.log1p(sum(x for x in v if x > 0))), float(np.log1p(len(d)))))
         return out
 
-    def learn_words(self, bags: list[list[str]]) -> None:
-        """Score the words of these texts that aren't known yet, together."""
-        new = list({w for bag in bags for w in bag if w not in self.known})
-        if len(self.known) + len(new) > self.most_known:
-            self.known.clear()
-            new = list({w for bag in bags for w in bag})
-        if new:
-            self.known.update(zip(new, self.margins(new).tolist()))
-
-    def summary(self, bag: list[str]) -> tuple[float, float]:
-        """The highest value of a text's words, and how many are above zero (as log1p)."""
-        if not bag:
-            return -1.0, 0.0
-        known = self.known
-        found = [known[w] for w in bag]
-        return max(found), float(np.log1p(sum(v > 0 for v in found)))
-
-    def scores(self, bodies: list[str]) -> list[float]:
+    def scores(self, bodies: list[str], known: Recent | None = None) -> list[float]:
         if self.weights is None:
             return [0.0] * len(bodies)
-        bags = [bag_of(t) for t in bodies]
-        self.learn_words(bags)
-        a, b, c = self.calibration
-        return [1 / (1 + float(np.exp(-np.clip(a * top + b * n + c, -30, 30)))) for top, n in map(self.summary, bags)]
-
-
-def bag_of(text: str) -> list[str]:
-    """Distinct words of a whole text: lower case, letters only, at least LENGTH of them; spaced-out words are joined, long ones cut into overlapping windows."""
-    low = text.lower()
-    tokens = set(low.split())
-    tokens.update(m[0] for m in SPACED.finditer(low))
-    out = set()
-    for w in tokens:
-        if not w.isalpha():
-            w = _NOISE.sub("", w)
-        if len(w) < LENGTH:
-            continue
-        if len(w) <= LETTERS:
-            out.add(w)
-        else:
-            out.update(w[k : k + LETTERS] for k in range(0, len(w) - STEP, STEP))
-    return list(out)
-
-
-def hinge_fit(x: np.ndarray, y: np.ndarray, cost: float = 5.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+        known = Recent() if known is None else known
+        x = np.array(self.summaries(bodies, known)).reshape(-1, 4)
+        return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
+
+
+def hinge_fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, cost: float = 3.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum."""
     xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     weigh = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * cost
-    w = np.zeros(xb.shape[1])
+    w = np.zeros(xb.shape[1]) if start is None else start
     ridge = np.eye(xb.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         active = y * (xb @ w) < 1
         xa = xb[active] * weigh[active][:, None]
         new = np.linalg.solve(ridge + xa.T @ xb[active], xa.T @ y[active])
-        if np.allclose(new, w, atol=1e-7):
+        if np.allclose(new, w, atol=1e-5):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -174,69 +165,33 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: int = 5) -> Model:
-    """A model from labelled documents."""
-    if not toxic or not clean:
-        return Model()
-    rng = np.random.default_rng(seed)
-    bags = {1: [[bag_of(s) for s in _SENTENCE.split(t)] for t in toxic], 0: [[bag_of(s) for s in _SENTENCE.split(t)] for t in clean]}
-    docs = {y: [set().union(*b) if b else set() for b in bags[y]] for y in bags}
-    seen = {y: Counter(w for d in docs[y] for w in d) for y in docs}
-    n1, n0 = len(toxic), len(clean)
-
-    def odds(w: str) -> float:
-        return float(np.log((seen[1][w] + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)))
-
-    often = max(3, n1 // 400)
-    strong = [w for w, k in seen[1].items() if k >= often and odds(w) > 2.0]
-    strong.sort(key=lambda w: (-seen[1][w], w))
-    if not strong:
-        strong = sorted(seen[1], key=lambda w: (-odds(w), w))[:50]
-    # one witness in each sentence that has one; words of clean documents are negative, the commonest and a share of all others
-    value = {w: odds(w) * np.log1p(seen[1][w]) for w in strong}
-    witness = Counter(max((w for w in s if w in value), key=lambda w: (value[w], w)) for d in bags[1] for s in d if any(w in value for w in s))
-    positive = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))[:600]]
-    pool = sorted(seen[0])
-    negative = [w for w, _ in seen[0].most_common(1500)]
-    negative += [pool[k] for k in rng.choice(len(pool), min(len(pool), 4000), replace=False)]
-    negative = sorted(set(negative) - set(positive))
+def grams(docs: list[list[list[str]]]) -> Counter:
+    """How many documents hold each short string within words."""
+    out = Counter()
+    for d in docs:
+        words = {w for s in d for w in s}
+        out.update({w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1)})
+    return out
 
-    m = Model()
-    m.landmarks = _spread(positive, landmarks * 3 // 4)
-    m.landmarks += [w for w in (negative[k] for k in rng.permutation(len(negative))) if w not in m.landmarks][: landmarks - len(m.landmarks)]
-    own = m.own_landmarks
-    gram = (kernel(m.landmarks, m.landmarks) / np.outer(own, own)).astype(np.float64)
-    vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
-    keep = vals > 1e-3
-    m.mapping = (vecs[:, keep] / np.sqrt(vals[keep])).astype(np.float32)
-    for turn in range(3):
-        words = positive + negative
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        x = np.vstack([m.features(words[k : k + 512]) for k in range(0, len(words), 512)])
-        w, m.bias = hinge_fit(x, y)
-        m.weights = w.astype(np.float32)
-        if turn == 2:
-            break
-        # clean words that the machine likes are the ones to learn next
-        known = set(words)
-        more = [pool[k] for k in rng.choice(len(pool), min(len(pool), 30_000), replace=False) if pool[k] not in known]
-        value_of = m.margins(more) if more else np.zeros(0)
-        negative += [more[k] for k in np.argsort(-value_of)[:1500]]
-    rows = {y: [list(d) for d in docs[y][:CALIBRATION]] for y in (1, 0)}
-    m.learn_words(rows[1] + rows[0])
-    x = np.array([m.summary(r) for y in (1, 0) for r in rows[y]])
-    m.calibration = tuple(map(float, logistic_fit(x, np.array([1.0] * len(rows[1]) + [0.0] * len(rows[0])))))
-    m.known = {}
-    return m
+
+def choose_landmarks(seen1: Counter, n1: int, seen0: Counter, n0: int, n: int, rng: np.random.Generator) -> list[str]:
+    """Three quarters: strings that clearly more of the toxic documents hold, unlike each other; the rest: any strings of clean ones. seen: documents by string."""
+    often = max(3, n1 // 40)
+    worth = {}
+    for g, k in seen1.items():
+        if k >= often and (odds := np.log(k / n1) - np.log((seen0[g] + 0.5) / (n0 + 1))) > 1.0:
+            worth[g] = odds * (k * len(g)) ** 0.5
+    out = _spread(sorted(worth, key=lambda g: (-worth[g], g))[:600], n * 3 // 4)
+    pool = sorted(g for g in seen0 if len(g) == GRAMS[-1] and g not in set(out))
+    return out + [pool[k] for k in rng.choice(len(pool), min(len(pool), n - len(out)), replace=False)]
 
 
 def _spread(words: list[str], n: int) -> list[str]:
-    """n words, each the commonest that is least like those chosen (by kernel)."""
+    """n words, each the foremost that is least like those chosen (by kernel)."""
     if len(words) <= n:
         return list(words)
-    k = kernel(words, words)
-    own = np.sqrt(np.maximum(np.diag(k), 1e-12))
-    k = k / np.outer(own, own)
+    own = own_kernel(words)
+    k = kernel(words, words) / np.outer(own, own)
     chosen, near = [0], k[0].copy()
     for _ in range(n - 1):
         gain = (1 - near) / (1 + np.arange(len(words))) ** 0.25
@@ -246,6 +201,74 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
+def fit_sentences(docs: dict[int, list], landmarks: list[str]) -> Model:
+    """The machine, without calibration. docs: by label, documents as sentences of words."""
+    m = Model()
+    if not landmarks or not all(docs.values()):
+        return m
+    m.landmarks, m.own = landmarks, own_kernel(landmarks)
+    gram = ((kernel(m.landmarks, m.landmarks) / np.outer(m.own, m.own)) ** POWER).astype(np.float64)
+    vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
+    keep = vals > 1e-3
+    m.mapping = (vecs[:, keep] / np.sqrt(vals[keep])).astype(np.float32)
+    words = sorted({w for y in docs for d in docs[y] for s in d for w in s}, key=len)
+    if not words:
+        return m
+    x, at = m.every_feature(words), {w: i for i, w in enumerate(words)}
+
+    def rows(some: list) -> tuple[np.ndarray, np.ndarray]:
+        found = [(k, [at[w] for w in s]) for k, d in enumerate(some) for s in d if s]
+        sizes = np.array([len(i) for _, i in found], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+        flat = x[[i for _, one in found for i in one]] if len(sizes) else np.zeros((0, x.shape[1]), np.float32)
+        return np.array([k for k, _ in found], np.int64), np.add.reduceat(flat, starts, axis=0) if len(sizes) else flat
+
+    (doc, a), (_, b) = rows(docs[1]), rows(docs[0])
+    if not len(a) or not len(b):
+        return m
+    used, w = np.ones(len(a), bool), None
+    for _ in range(4):
+        w, m.bias = hinge_fit(np.vstack([a[used], b]), np.r_[np.ones(used.sum()), -np.ones(len(b))], w if w is None else np.r_[w, m.bias])
+        value = a @ w + m.bias
+        used = value > 0
+        order = np.lexsort((-value, doc))
+        used[order[np.flatnonzero(np.diff(doc[order], prepend=-1))]] = True  # each document's highest
+    m.weights = w.astype(np.float32)
+    return m
+
+
+def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: int = 5, folds: int = FOLDS) -> Model:
+    """A model from labelled documents: folds give values of unseen documents for the calibration, then all documents the machine."""
+    if not toxic or not clean:
+        return Model()
+    bodies, known = {1: toxic, 0: clean}, {}
+
+    def as_words(sentence: list[str]) -> list[str]:
+        return [w for t in set(sentence) for w in (known[t] if t in known else known.setdefault(t, words_of(t)))]
+
+    docs = {y: [[as_words(s) for s in sentences(t)] for t in bodies[y]] for y in bodies}
+    seen = {(y, f): grams(docs[y][f::folds]) for y in docs for f in range(folds)}
+
+    def machine(without: int | None) -> Model:
+        part = {y: [d for i, d in enumerate(docs[y]) if i % folds != without] for y in docs}
+        n = {y: sum((seen[y, f] for f in range(folds) if f != without), Counter()) for y in docs}
+        return fit_sentences(part, choose_landmarks(n[1], max(1, len(part[1])), n[0], len(part[0]), landmarks, np.random.default_rng(seed)))
+
+    m = machine(None)
+    if m.weights is None:
+        return Model()
+    x, y = [], []
+    for f in range(folds):
+        one = machine(f)
+        one = m if one.weights is None else one
+        for label in bodies:
+            some = bodies[label][f::folds][:CALIBRATION]
+            x += one.summaries(some, Recent())
+            y += [float(label)] * len(some)
+    m.calibration = tuple(map(float, logistic_fit(np.array(x), np.array(y))))
+    return m
+
+
 def fold(doc_id: int | None) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5 if doc_id is not None else 0
 
@@ -254,49 +277,43 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` documents of each label outside the held-out fold."""
+def fit_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> Model:
+    """Fit on at most `sample` documents of each label outside the held-out fold, with at most most_chars characters each: so much comes to the driver at most."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z").where(~held_out())
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").orderBy("doc_id", "text").limit(4 * sample).collect()  # ids: 2 * sample rows
+    rows = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id")  # ids: 2 * sample rows
     by: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows:
+    for r in rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect():
         by[int(r["y"])].append(r["text"])
     return fit(by[1], by[0])
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and score."""
+    """keep columns and score, one row for each row; null and empty texts have a score too, an empty table gives an empty result."""
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     body = df.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers for each landmark
 
     def run(b: pa.RecordBatch) -> dict:
-        return {c: b.column(i) for i, c in enumerate(keep)} | {"score": pa.array(live(body).scores(texts(b, text)), pa.float64())}
+        return {c: b.column(i) for i, c in enumerate(keep)} | {"score": pa.array(live_scores(body, texts(b, text)), pa.float64())}
 
     return map_batches(df.select(*keep, text), run, ", ".join([*kept, "score double"]))
 
 
-_LIVE: dict = {}
-
-
-def live(body) -> Model:
-    """The worker's copy of a broadcast model, with the words it knows so far."""
-    key = body.value.landmarks, body.value.bias
-    if _LIVE.get("key") != key:
-        _LIVE.clear()
-        _LIVE.update(key=key, model=body.value)
-    return _LIVE["model"]
+def live_scores(body, bodies: list[str]) -> list[float]:
+    """By a broadcast model; the worker remembers values of tokens."""
+    model = body.value
+    return model.scores(bodies, held(("toxicity", tuple(model.landmarks), model.bias), Recent))
 
 
 def drop_toxic(df: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The same columns, without the rows whose score reaches the threshold."""
+    """The same columns and rows, repeated ones too, without the rows whose score reaches the threshold; whole texts are scored, null as empty ones."""
     names = df.columns
     body = df.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> dict:
         at = names.index(text)
-        good = pa.array([s < threshold for s in live(body).scores(["" if t is None else t for t in b.column(at).to_pylist()])], pa.bool_())
+        good = pa.array([s < threshold for s in live_scores(body, ["" if t is None else t for t in b.column(at).to_pylist()])], pa.bool_())
         kept = b.filter(good)
         return {c: kept.column(i) for i, c in enumerate(names)}
 
