@@ -16,15 +16,15 @@ without doc_id links others but is never a component's smallest id (its own is n
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import checkpointed, map_batches, texts, written
+from .common import checkpointed, map_batches, ship, shuffles_removed, texts, written
 from .components import connected_components
+from .substring import bitmap, gram_hashes, hit, word_hashes
 
 SEGMENTS, WIDTH = 16, 4
 BUCKET = 32
@@ -136,13 +136,18 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_diff: int = 2, text: st
 # --- Pipeline: near-duplicates by five-word shingles, similarity 0.8 -------------------------------------------------------
 
 
-#: Texts looked at for the order of shingles, and shingles that are known as common ones. Any order gives the same result; this one keeps buckets small.
-ORDER_TEXTS, COMMON = 4_000, 1 << 16
+#: Shingles known as common ones, and the documents that make one common. Any order gives the same result; this one keeps buckets small.
+COMMON, OFTEN = 1 << 16, 8
+#: Members of a bucket that one hub is compared with.
+ROUND_HUB = 1_000
 
 
-def shingle_hashes(text: str, size: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x) for x in shingles(text, size)], dtype=np.uint64))
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct word shingles of a text as 64-bit hashes, in their order; shorter texts: all words as one."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
 
 
 def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -158,89 +163,151 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, hub_rounds: int = 4, hubs: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+def segment_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the set fall to each segment of the ring of hashes; about four to a segment."""
+    n = 8
+    while 4 * n < hashes.size:
+        n *= 2
+    return np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint16)
+
+
+def ring_holds(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets can be so similar by their segment counts. Equal segments differ by at least the difference of their counts, and all
+    by at most the budget; a chain of all segments with every start of it within its share of the budget exists exactly if the sum is."""
+    while x.size > y.size:
+        x = x[: x.size // 2] + x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] + y[y.size // 2 :]
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    return int(np.abs(x - y).sum()) <= (1 - similarity) / (1 + similarity) * int(x.sum() + y.sum()) + 1e-6
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, hub_rounds: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The same columns; of each group of near-duplicates the row with the smallest doc_id (nulls last) stays.
 
-    Candidates are exact: texts are dealt to a bucket for each shingle of their prefix in an order common to all texts. In rounds,
-    the members of a bucket of more than BUCKET are compared with up to `hubs` of them, others each time, which joins large groups;
-    then every pair of a bucket that isn't joined or compared yet and whose sizes and places in the prefix still allow the
-    similarity. A pair that is joined already can't change the groups.
-    Texts are compared by exact Jaccard similarity of their shingle sets. Texts without words count as equal.
+    Candidates are exact: texts are dealt to a bucket for each shingle of their prefix in an order common to all texts, with the
+    shingles that most documents hold last. In each of hub_rounds rounds a text is compared with one drawn member of a part of its buckets (the one
+    that most of its buckets draw), which joins large groups; then every pair of a bucket that isn't joined yet and whose sizes, places in the prefix and
+    segment counts still allow the similarity. A pair that is joined already can't change the groups.
+    Texts are compared by exact Jaccard similarity of their shingle sets. Texts without words count as equal, null ones are texts without words.
+    Of rows with the same doc_id and text one stays, by a hash of the row. An empty table gives an empty result; columns may have any names.
+    Texts are told apart by 64 bits while groups are made, so two texts could be mistaken for one with a chance of 2**-64 a pair.
     """
+    spark = df.sparkSession
     cols = df.columns
-    rows = df.select("*", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tl_h"), F.xxhash64(F.reverse(F.coalesce(F.col(text), F.lit("")))).alias("_tl_g"))
-    body = rows.groupBy("_tl_h", "_tl_g").agg(F.min(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).alias("id"), F.count("*").alias("n"))
-    src = rows.select(F.col("_tl_h").alias("h"), F.col(text).alias("text"))
-
-    def hashes_of(b: pa.RecordBatch) -> dict:
-        return {"s": pa.array([shingle_hashes(t, shingle).view(np.int64) for t in texts(b, "text")], pa.list_(pa.int64()))}
-
-    some = src.where(F.pmod("h", F.lit(max(1, df.count() // ORDER_TEXTS))) == 0).dropDuplicates(["h"])
-    seen = map_batches(some, hashes_of, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    seen = sorted((r["s"] % (1 << 64), r["n"]) for r in seen.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    common, ranks = np.array([x for x, _ in seen], np.uint64), np.array([n for _, n in seen], np.int64)
-
-    def prefixes_of(b: pa.RecordBatch) -> dict:
-        first, sizes = [], []
-        for t in texts(b, "text"):
-            x = rare_first(shingle_hashes(t, shingle), common, ranks)
-            sizes.append(x.size)
-            first.append(x[: prefix_length(x.size, similarity)].view(np.int64) if x.size else np.zeros(1, np.int64))
-        return {"h": b.column(0), "size": pa.array(sizes, pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64()))}
-
-    # a text's hash is its node in the graph; copies give the same postings, so they are taken out on few columns
-    once = written(rows.select(F.col("_tl_h").alias("h"), F.col(text).alias("text")).dropDuplicates(["h"]))
-    dealt = map_batches(once, prefixes_of, "h long, size int, prefix array<long>").select("h", "size", F.posexplode("prefix").alias("at", "s"))
-    posts = written(dealt)
-    met = posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    posts = written(posts.join(met, "s"))
-
-    def sets_of(b: pa.RecordBatch) -> dict:
-        return {"h": b.column(0), "set": pa.array([shingle_hashes(t, shingle).tobytes() for t in texts(b, "text")], pa.binary())}
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), own.alias("id"), F.xxhash64(body).alias("h"), F.xxhash64(F.reverse(body)).alias("g"))
+    src = df.select(F.xxhash64(body).alias("h"), body.alias("text"))
+    ship(spark)
+
+    def flat(emit, schema: str, *more) -> DataFrame:
+        return map_batches(src, lambda b: emit(b.column(0).to_numpy(), texts(b, "text"), *more), schema)
+
+    def first_of(sets: list[np.ndarray]) -> list[np.ndarray]:
+        # a text without words has one made-up shingle, so that it meets others of its kind
+        return [x[: prefix_length(x.size, similarity)] if x.size else np.zeros(1, np.uint64) for x in sets]
+
+    def by_hash(h: np.ndarray, bodies: list[str]) -> dict:
+        found = np.concatenate(first_of([shingle_set(t, shingle) for t in bodies]))
+        s, n = np.unique(found, return_counts=True)
+        return {"s": pa.array(s.view(np.int64)), "n": pa.array(n)}
+
+    often = flat(by_hash, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(COMMON)
+    with shuffles_removed(spark):
+        often = sorted((r["s"] % (1 << 64), r["n"]) for r in often.collect())  # COMMON rows at most
+    order = spark.sparkContext.broadcast((np.array([x for x, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
+
+    def prefixes(bodies: list[str]) -> list[np.ndarray]:
+        return first_of([rare_first(shingle_set(t, shingle), *order.value) for t in bodies])
+
+    def by_order(h: np.ndarray, bodies: list[str]) -> dict:
+        found = prefixes(bodies)
+        return {"s": pa.array(np.concatenate(found).view(np.int64)), "h": pa.array(np.repeat(h, [x.size for x in found]))}
+
+    met = flat(by_order, "s long, h long").groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("s")
+    shared = spark.sparkContext.broadcast(bitmap(met, "s"))
+
+    def cards(h: np.ndarray, bodies: list[str]) -> dict:
+        """Of texts that share a prefix shingle: its size, segment counts, and those shingles with their places."""
+        out: dict[str, list] = {c: [] for c in ("h", "size", "ring", "s", "at")}
+        for one, t in zip(h.tolist(), bodies):
+            full = rare_first(shingle_set(t, shingle), *order.value)
+            (first,) = first_of([full])
+            at = np.flatnonzero(hit(shared.value, first))
+            if at.size:
+                for c, v in zip(out, (one, full.size, segment_counts(full).tobytes(), first[at].view(np.int64), at.astype(np.int32))):
+                    out[c].append(v)
+        return {"h": pa.array(out["h"], pa.int64()), "size": pa.array(out["size"], pa.int32()), "ring": pa.array(out["ring"], pa.binary()), "s": pa.array(out["s"], pa.list_(pa.int64())), "at": pa.array(out["at"], pa.list_(pa.int32()))}
+
+    held_cards = written(flat(cards, "h long, size int, ring binary, s array<long>, at array<int>").dropDuplicates(["h"]))
+    posts = held_cards.select("h", "size", F.explode(F.arrays_zip("s", "at")).alias("p")).select("h", "size", "p.s", "p.at")
+    rings = held_cards.select("h", "ring")
+
+    def sets_of(h: np.ndarray, bodies: list[str], wanted) -> dict:
+        some = np.flatnonzero(hit(wanted.value, h.view(np.uint64))).tolist()
+        once = {int(h[i]): bodies[i] for i in some}
+        return {"h": pa.array(list(once), pa.int64()), "set": pa.array([shingle_set(t, shingle).tobytes() for t in once.values()], pa.binary())}
+
+    def can_be(b: pa.RecordBatch) -> dict:
+        ok = [ring_holds(*(np.frombuffer(v.as_buffer(), np.uint16) for v in both), similarity) for both in zip(b.column(2), b.column(3))]
+        return {"a": b.column(0), "b": b.column(1), "ok": pa.array(ok, pa.bool_())}
 
     def alike(b: pa.RecordBatch) -> dict:
-        names = b.schema.names
         ok = []
-        for x, y in zip(b.column(names.index("x")), b.column(names.index("y"))):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.intersect1d(p, q, assume_unique=True).size
-            ok.append(both >= similarity * (p.size + q.size - both))
-        return {"a": b.column(names.index("a")), "b": b.column(names.index("b")), "ok": pa.array(ok, pa.bool_())}
-
-    tried: list[DataFrame] = []
+        for both in zip(b.column(2), b.column(3)):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in both)
+            same = np.intersect1d(p, q, assume_unique=True).size
+            ok.append(same >= similarity * (p.size + q.size - same) - 1e-9)
+        return {"a": b.column(0), "b": b.column(1), "ok": pa.array(ok, pa.bool_())}
+
+    def with_both(pairs: DataFrame, values: DataFrame, c: str) -> DataFrame:
+        """pairs with x and y, the values of a and b. Many pairs may share a: its value is dealt to as many parts as it has thousands of pairs."""
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROUND_HUB).alias("parts"))
+        dealt = values.withColumnRenamed("h", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(c).alias("x"), "parts")
+        most = parts.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
+        right = pairs.join(values.withColumnRenamed("h", "b"), "b").select("a", "b", F.col(c).alias("y"))
+        if most == 1:
+            return right.join(dealt.drop("part", "parts"), "a").select("a", "b", "x", "y")
+        right = right.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+        return right.join(dealt.drop("parts"), ["a", "part"]).select("a", "b", "x", "y")
 
     def true_ones(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        pairs = checkpointed(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else pairs)
-        tried.append(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        sets = written(map_batches(once.join(ends, "h", "left_semi").select("h", "text"), sets_of, "h long, set binary"))
-        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
-        return checkpointed(map_batches(both.select("a", "b", "x", "y"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        kept = checkpointed(map_batches(with_both(checkpointed(pairs), rings, "ring"), can_be, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        wanted = spark.sparkContext.broadcast(bitmap(kept.select(F.explode(F.array("a", "b")).alias("h")), "h"))
+        sets = written(flat(sets_of, "h long, set binary", wanted).dropDuplicates(["h"]))
+        return checkpointed(map_batches(with_both(kept, sets, "set"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
 
     # what a pair must still be able to share, at the first shingle that both have
     least = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
     fits = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= least
-    ends_of = (F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
-    hot = posts.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
     found, groups = None, None
-    for k in range(hub_rounds if hot.limit(1).count() else 0, -1, -1):  # the last round, 0, is that of all pairs
+    for k in [*range(1, hub_rounds + 1), 0]:  # the last round, 0, is that of all pairs
         open_ = posts.withColumn("c", F.col("h")) if groups is None else posts.join(groups.withColumnRenamed("id", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        mixed = open_.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        x = open_.join(mixed.where(F.col("n") > BUCKET if k else F.lit(True)).select("s"), "s")
+        mixed = open_.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("s", F.ceil(F.col("n") / ROUND_HUB).alias("parts"))
+        x = open_.join(mixed, "s")
         if k:
             drawn = F.xxhash64(F.lit(k), F.col("h"))
-            y = x.groupBy("s", F.pmod(drawn, F.lit(hubs)).alias("turn")).agg(F.min(F.struct(drawn, "h", "size", "at", "c")).alias("hub")).select("s", "hub.h", "hub.size", "hub.at", "hub.c")
+            x = written(x.withColumn("part", F.pmod(drawn, F.col("parts"))))
+            y = x.groupBy("s", "part").agg(F.min(F.struct(F.xxhash64(F.lit(-k), F.col("h")).alias("d"), "h", "size", "at", "c")).alias("hub")).select("s", "part", "hub.h", "hub.size", "hub.at", "hub.c")
+            near = x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & fits)
+            often_hub = near.groupBy(F.col("x.h").alias("b"), F.col("y.h").alias("a")).agg(F.count("*").alias("n"))
+            pairs = often_hub.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         else:
             x = y = written(x)
-        far = F.col("x.c") != F.col("y.c") if k else F.col("x.c") < F.col("y.c")
-        links = true_ones(x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & far & fits).select(*ends_of))
+            near = x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & fits)
+            pairs = near.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+        links = true_ones(pairs)
         found = links if found is None else found.unionByName(links)
         groups = checkpointed(connected_components(found))
-    named = body.join(groups, body["_tl_h"] == groups["id"], "left").select("_tl_h", "_tl_g", body["id"].alias("id"), "n", F.coalesce("component", "_tl_h").alias("c"))
-    best = named.groupBy("c").agg(F.min(F.struct("id", "_tl_h", "_tl_g")).alias("best"), F.max("n").alias("n")).select(F.col("best._tl_h").alias("_tl_h"), F.col("best._tl_g").alias("_tl_g"), F.col("best.id").alias("_tl_id"))
-    own = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
-    kept = rows.withColumn("_tl_id", own).join(best, ["_tl_h", "_tl_g", "_tl_id"])  # the id is in the key, so copies of one text are many keys
-    # the same doc_id may stand beside the same text more than once; one row stays
-    first = W.partitionBy("_tl_h", "_tl_g", "_tl_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    return kept.withColumn("_tl_n", F.row_number().over(first)).where("_tl_n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    keys = rows.groupBy("h", "g", "id").agg(F.count("*").alias("n"))
+    named = keys.join(groups.withColumnRenamed("id", "h"), "h", "left").select("h", "g", "id", "n", F.coalesce("component", "h").alias("c"))
+    named = written(named)
+    best = named.groupBy("c").agg(F.min(F.struct("id", "h", "g")).alias("best"))
+    marked = named.join(best, "c").select("h", "g", "id", "n", (F.struct("id", "h", "g") == F.col("best")).alias("stays"))
+    gone = written(marked.where("not stays or n > 1"))
+    # the id is in the key, so copies of one text are many keys; the side of what goes is the smaller one
+    kept = rows.join(gone.select("h", "g", "id"), ["h", "g", "id"], "left_anti").select("row.*")
+    first = W.partitionBy("h", "g", "id").orderBy(F.xxhash64(F.to_json("row")))
+    tied = rows.join(gone.where("stays").select("h", "g", "id"), ["h", "g", "id"], "left_semi").withColumn("k", F.row_number().over(first)).where("k = 1").select("row.*")
+    return kept.unionByName(tied)

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Recent, checkpointed, held, map_batches, ship, written
+from .common import Recent, checkpointed, held, map_batches, ship, shuffles_removed, written
 
 GRAM = 16
 HOT = 50_000
@@ -85,12 +85,14 @@ def words_of(batch: pa.RecordBatch, i: int) -> list[list[bytes]]:
     return [b"".split() if t is None else t.split() for t in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def bitmap(rows: DataFrame) -> bytes:
-    """A bitmap of pmod(anchor, BITMAP); at most BITMAP bits come to the driver."""
-    x = (F.pmod("anchor", F.lit(BITMAP)) + 1).alias("x")
+def bitmap(rows: DataFrame, column: str = "anchor") -> bytes:
+    """A bitmap of a column modulo BITMAP; at most BITMAP bits come to the driver."""
+    x = (F.pmod(column, F.lit(BITMAP)) + 1).alias("x")
     made = rows.select(x).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
     out = np.zeros(BITMAP // 8, np.uint8)
-    for r in made.collect():
+    with shuffles_removed(rows.sparkSession):
+        made = made.collect()
+    for r in made:
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
