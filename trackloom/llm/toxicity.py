@@ -22,6 +22,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,21 @@ def kernel(words: list[str], against: list[str] | None) -> np.ndarray:
     return total.sum(axis=2)
 
 
+@lru_cache(maxsize=64)
+def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of LENGTH of n letters, and their weights."""
+    places = np.array(list(combinations(range(n), LENGTH)), np.int64).reshape(-1, LENGTH)
+    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
+
+
+def subsequence_codes(letters: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    """A number for each subsequence (rows of places) of each word (rows of letter numbers)."""
+    out = letters[:, places[:, 0]]
+    for k in range(1, LENGTH):
+        out = out * base + letters[:, places[:, k]]
+    return out
+
+
 def own_kernel(words: list[str]) -> np.ndarray:
     return np.sqrt(np.maximum(kernel(words, None)[:, 0], 1e-12))
 
@@ -103,12 +120,52 @@ class Model:
     bias: float = 0.0
     calibration: tuple[float, ...] = ()
 
+    def lookup(self) -> tuple:
+        """Letters of the landmarks by number (others are 0), and by subsequence of LENGTH of them where its landmarks and weights begin and how many they are."""
+        if "_lookup" not in self.__dict__:
+            letters = {c: k for k, c in enumerate(sorted(set("".join(self.landmarks))), 1)}
+            held: dict[int, dict[int, float]] = {}
+            for j, w in enumerate(self.landmarks):
+                places, weights = subsequences(len(w))
+                for key, weight in zip(subsequence_codes(np.array([[letters[c] for c in w]]), places, len(letters) + 1)[0].tolist(), weights.tolist()):
+                    one = held.setdefault(key, {})
+                    one[j] = one.get(j, 0.0) + weight
+            begin, many = np.zeros((len(letters) + 1) ** LENGTH, np.int32), np.zeros((len(letters) + 1) ** LENGTH, np.int32)
+            sizes = np.array([len(x) for x in held.values()])
+            begin[list(held)], many[list(held)] = np.cumsum(sizes) - sizes, sizes
+            self._lookup = letters, begin, many, np.array([j for x in held.values() for j in x]), np.array([v for x in held.values() for v in x.values()])
+        return self._lookup
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_lookup"}
+
+    def against_landmarks(self, words: list[str]) -> np.ndarray:
+        """kernel(words, landmarks), by the subsequences that words share with any landmark; words of one length."""
+        letters, begin, many, landmark, weight = self.lookup()
+        places, own = subsequences(len(words[0]))
+        number = np.zeros(max(map(ord, letters)) + 2, np.int32)
+        number[list(map(ord, letters))] = list(letters.values())
+        found = subsequence_codes(number[np.minimum(codes(words), len(number) - 1)], places, len(letters) + 1)
+        row, place = np.nonzero(many[found])
+        found = found[row, place]
+        n = many[found]
+        at = np.repeat(begin[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        size = len(self.landmarks)
+        total = np.bincount(np.repeat(row * size, n) + landmark[at], np.repeat(own[place], n) * weight[at], len(words) * size)
+        return total.reshape(len(words), size).astype(np.float32)
+
     def features(self, words: list[str]) -> np.ndarray:
-        return (kernel(words, self.landmarks) / own_kernel(words)[:, None] / self.own) ** POWER @ self.mapping
+        """Nyström features of words of one length."""
+        return (self.against_landmarks(words) / own_kernel(words)[:, None] / self.own) ** POWER @ self.mapping
 
     def every_feature(self, words: list[str]) -> np.ndarray:
         """Of words in order of length, some at a time."""
-        return np.vstack([self.features(words[k : k + 512]) for k in range(0, len(words), 512)])
+        sizes = np.array([len(w) for w in words])
+        out = []
+        for n in np.unique(sizes).tolist():
+            some, step = np.flatnonzero(sizes == n), max(16, 600_000 // max(1, len(subsequences(n)[1])))
+            out += [self.features([words[i] for i in some[k : k + step]]) for k in range(0, len(some), step)]
+        return np.vstack(out)
 
     def values(self, tokens: list[str]) -> list[float]:
         """What each token adds to its sentence's value."""
