@@ -1,4 +1,4 @@
-"""Comparing runs: coverage joins, A/B differences, coverage change and common keys. Nearest pairing (J11) and replay decisions are not built."""
+"""Comparing runs: coverage joins, A/B differences, coverage change, common keys and nearest pairing."""
 
 from __future__ import annotations
 
@@ -43,7 +43,32 @@ def in_every(df: DataFrame, value: str, configuration: str) -> DataFrame:
     return df.groupBy(value).agg(F.countDistinct(configuration).alias("_n")).join(F.broadcast(n), F.col("_n") == F.col("_all")).select(value)  # n: one row
 
 
-def price(df: DataFrame, risky: str, avoided: str, loss: str, most_price: float = 5.0, most_loss: float = 0.005) -> DataFrame:
-    """Whether loosening is worth it: few risky matches for each reset avoided, and hardly any coverage lost."""
-    p = F.when(F.col(avoided) > 0, F.col(risky) / F.col(avoided))
-    return df.withColumn("price", p).withColumn("verdict", F.when(F.col(avoided) <= 0, "no_gain").when((p <= most_price) & (F.col(loss) <= most_loss), "accept").otherwise("reject"))
+def paired(current: DataFrame, other: DataFrame, score_tolerance: float, place_tolerance: float) -> DataFrame:
+    """Boxes of two runs matched instant by instant, each to the nearest (by corner) remaining one of its label, in order of pos.
+
+    Rows entity_id, t, class_id, a_pos, b_pos (null where a box has none), score_diff, place_diff and outcome: exact, tolerant or mismatch. Instants meet by t
+    rounded to six places. The greedy choice is a fold over one instant's boxes of a label.
+    """
+    cols = ["pos", *"xywh", "score"]
+    group = ["entity_id", "t", "class_id"]
+    side = lambda d, n: d.select("entity_id", F.bround("t", 6).alias("t"), "class_id", F.struct(F.col("pos").cast("int").alias("pos"), *[F.col(c).cast("double").alias(c) for c in cols[1:]]).alias("b")).groupBy(*group).agg(F.sort_array(F.collect_list("b")).alias(n))
+    none = "cast(array() as array<struct<pos:int,x:double,y:double,w:double,h:double,score:double>>)"
+    both = side(current, "a").join(side(other, "b"), group, "full").withColumns({"a": F.expr(f"coalesce(a, {none})"), "b": F.expr(f"coalesce(b, {none})")})
+    far = "named_struct('d', (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y), 'i', i)"
+    pick = f"array_min(transform(acc.left, (o, i) -> {far})).i + 1"
+    step = f"if(size(acc.left) = 0, named_struct('left', acc.left, 'out', concat(acc.out, array(named_struct('p', p, 'q', cast(null as struct<pos:int,x:double,y:double,w:double,h:double,score:double>))))), named_struct('left', filter(acc.left, (o, i) -> i <> {pick} - 1), 'out', concat(acc.out, array(named_struct('p', p, 'q', acc.left[{pick} - 1])))))"
+    start = "named_struct('left', b, 'out', cast(array() as array<struct<p:struct<pos:int,x:double,y:double,w:double,h:double,score:double>,q:struct<pos:int,x:double,y:double,w:double,h:double,score:double>>>))"
+    m = both.withColumn("m", F.expr(f"aggregate(a, {start}, (acc, p) -> {step})"))
+    extra = "transform(m.left, o -> named_struct('p', cast(null as struct<pos:int,x:double,y:double,w:double,h:double,score:double>), 'q', o))"
+    rows = m.select(*group, F.explode(F.expr(f"concat(m.out, {extra})")).alias("r"))
+    score = F.abs(F.col("r.p.score") - F.col("r.q.score"))
+    place = F.greatest(*[F.abs(F.col(f"r.p.{c}") - F.col(f"r.q.{c}")) for c in "xywh"])
+    outcome = F.when((score == 0) & (place == 0), "exact").when((score <= score_tolerance) & (place <= place_tolerance), "tolerant").otherwise("mismatch")
+    return rows.select(*group, F.col("r.p.pos").alias("a_pos"), F.col("r.q.pos").alias("b_pos"), score.alias("score_diff"), F.when(F.col("r.p").isNotNull() & F.col("r.q").isNotNull(), place).alias("place_diff"), outcome.alias("outcome"))
+
+
+def run_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of a comparison of two runs (A33). pairs: the output of paired()."""
+    found = F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull()
+    n = lambda c: F.count_if(c)
+    return pairs.groupBy(*keys).agg(n(found).alias("matched"), n(F.col("outcome") == "exact").alias("exact"), n(F.col("outcome") == "tolerant").alias("tolerant"), n(F.col("outcome") == "mismatch").alias("mismatches"), n(F.col("b_pos").isNull()).alias("unmatched_current"), n(F.col("a_pos").isNull()).alias("unmatched_other"), F.coalesce(F.max("score_diff"), F.lit(0.0)).alias("max_score_diff"), F.coalesce(F.max("place_diff"), F.lit(0.0)).alias("max_place_diff"))

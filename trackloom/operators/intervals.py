@@ -25,7 +25,7 @@ def bursts(df: DataFrame, key: str, window: float, max_span: float, t: str = "t"
     order = W.partitionBy(key).orderBy(t)
     marked = df.withColumn("_g", F.col(t) - F.lag(t).over(order)).withColumn("_b", F.sum(F.when(F.col("_g") < window - 1e-6, 0).otherwise(1)).over(order))
     runs = marked.groupBy(key, "_b").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n")).drop("_b")
-    return runs.withColumn("burst", (F.col("n") > 1) & (F.col("last") - F.col("first") <= max_span))
+    return runs.withColumn("burst", (F.col("n") > 1) & (F.col("last") - F.col("first") <= max_span + 1e-6))
 
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, stop: str, bucket: float, how: str = "inner", extra: Column | None = None) -> DataFrame:
@@ -51,8 +51,9 @@ def opacity(samples: DataFrame, spans: DataFrame, keys: list[str], fade: float,
     both = samples.select(*cols, F.lit(None).cast("double").alias("_s"), F.lit(None).cast("double").alias("_e"), F.lit(1).alias("_o"))
     both = both.unionByName(spans.select(*keys, F.col("start").alias(t), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.lit(0).alias("_o")))
     past = W.partitionBy(*keys).orderBy(t, "_o").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys).orderBy(t, "_o").rowsBetween(0, W.unboundedFollowing)
-    both = both.withColumns({"_stop": F.last("_e", True).over(past), "_next": F.first("_s", True).over(ahead)}).where("_o = 1")
+    # the next span by the same kind of frame over the order turned round: a frame that grows is one step a row
+    ahead = W.partitionBy(*keys).orderBy(F.desc(t), F.desc("_o")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_stop", F.last("_e", True).over(past)).withColumn("_next", F.last("_s", True).over(ahead)).where("_o = 1")
     after = F.when(F.col(t) <= F.col("_stop"), 1.0).otherwise(F.greatest(1 - (F.col(t) - F.col("_stop")) / fade, F.lit(0.0)))
     before = F.greatest(1 - (F.col("_next") - F.col(t)) / fade, F.lit(0.0))
     return both.select(*keys, t, F.greatest(F.coalesce(after, F.lit(0.0)), F.coalesce(before, F.lit(0.0))).alias("opacity"))

@@ -27,5 +27,20 @@ def by_week(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
 
 def later_success(df: DataFrame, key: list[str], at: str, failed: Column) -> DataFrame:
     """Each failure with the earliest later success of the same key."""
-    ahead = W.partitionBy(*key).orderBy(at).rangeBetween(1, W.unboundedFollowing)
+    # over the order turned round a frame that grows is one step a row; rows of the same time are peers and don't count
+    ahead = W.partitionBy(*key).orderBy(F.desc(at)).rangeBetween(W.unboundedPreceding, -1)
     return df.withColumn("recovered_at", F.min(F.when(~failed, F.col(at))).over(ahead)).where(failed)
+
+
+def merged_counts(df: DataFrame, keys: list[str], numbers: list[str], lists: list[str], flags: list[str], maps: list[str]) -> DataFrame:
+    """Result rows added together (A24): numbers add, lists concatenate, flags are or-ed, maps of numbers add key by key."""
+    base = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in numbers], *[F.flatten(F.collect_list(c)).alias(c) for c in lists], *[F.bool_or(c).alias(c) for c in flags])
+    for m in maps:
+        each = df.select(*keys, F.explode(m).alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"))
+        base = base.join(each.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(m)), keys, "left")
+    return base
+
+
+def reused(detection_seconds: Column, minutes: Column, least: float = 1.0) -> Column:
+    """Whether a run's detections came from a cache: less than `least` seconds a source minute."""
+    return F.coalesce((minutes > 0) & (F.coalesce(detection_seconds, F.lit(0.0)) / minutes < least), F.lit(False))

@@ -6,6 +6,9 @@ self-joins are equi-joins with a small residue.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.boxes import covered_share, iou
@@ -28,24 +31,91 @@ def same_instant_pairs(df: DataFrame) -> DataFrame:
     return prefixed(df, "a_").join(prefixed(df, "b_"), INSTANT).where("a_pos <> b_pos").withColumn("iou", iou("a_", "b_"))
 
 
-def suppressed(df: DataFrame, rules: list[tuple[str, str, float, float]]) -> DataFrame:
-    """Rows with suppressor pos and rule (null if kept). rules: (loser, winner, least IoU, least margin). A suppressed row still suppresses others."""
+def suppressed(df: DataFrame, rules: list[tuple[str, str, float, float]], with_iou: bool = False) -> DataFrame:
+    """Rows with suppressor pos and rule (null if kept). rules: (loser, winner, least IoU, least margin). A suppressed row still suppresses others.
+
+    with_iou: also the suppressor's label and IoU."""
     r = rules_frame(df.sparkSession, [(k, *x) for k, x in enumerate(rules)], "rule int, a_class_id string, b_class_id string, min_iou double, margin double")
-    hits = prefixed(df.join(F.broadcast(r.select(F.col("a_class_id").alias("class_id")).distinct()), "class_id", "left_semi"), "a_").join(r, "a_class_id").join(prefixed(df, "b_"), [*INSTANT, "b_class_id"])
-    hits = hits.where((F.col("a_pos") != F.col("b_pos")) & (iou("a_", "b_") >= F.col("min_iou")) & (F.col("b_score") - F.col("a_score") >= F.col("margin")))
-    first = hits.groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(F.min(F.struct("b_pos", "rule")).alias("by"))
-    return df.join(first, [*INSTANT, "pos"], "left").withColumns({"by_pos": F.col("by.b_pos"), "rule": F.col("by.rule")}).drop("by")
-
-
-def promoted(df: DataFrame, source: str, evidence: str, target: str, min_score: float, min_share: float, anywhere: bool = False) -> DataFrame:
-    """Rows with outcome and label after one promotion rule (J3): a source box of enough score becomes target if evidence overlaps it, unless a target covers it."""
-    a = prefixed(df, "a_").where((F.col("a_class_id") == source) & (F.col("a_score") >= min_score))
-    b = prefixed(df, "b_").where(F.col("b_class_id").isin(evidence, target))
-    near = F.lit(True) if anywhere else covered_share("a_", "b_") >= min_share
-    flags = a.join(b, INSTANT, "left").groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(F.coalesce(F.max((F.col("b_class_id") == target) & near), F.lit(False)).alias("has_target"), F.coalesce(F.max((F.col("b_class_id") == evidence) & near), F.lit(False)).alias("has_evidence"))
-    out = df.join(flags, [*INSTANT, "pos"], "left")
-    outcome = F.when(F.col("has_target").isNull(), F.lit(None).cast("string")).when(F.col("has_target"), "already_covered").when(F.col("has_evidence"), "promoted").otherwise("no_evidence")
-    return out.withColumn("outcome", outcome).withColumn("label", F.when(F.col("outcome") == "promoted", target).otherwise(F.col("class_id"))).drop("has_target", "has_evidence")
+    winners = prefixed(df.where(F.col("class_id").isin(*sorted({x[1] for x in rules}))), "b_")
+    losers = prefixed(df.where(F.col("class_id").isin(*sorted({x[0] for x in rules}))), "a_").join(r, "a_class_id")
+    hits = losers.join(winners, [*INSTANT, "b_class_id"]).withColumn("iou", iou("a_", "b_"))
+    hits = hits.where((F.col("a_pos") != F.col("b_pos")) & (F.col("iou") >= F.col("min_iou")) & (F.col("b_score") - F.col("a_score") >= F.col("margin")))
+    first = hits.groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(F.min(F.struct("b_pos", "rule", F.col("b_class_id").alias("label"), "iou")).alias("by"))
+    out = df.join(first, [*INSTANT, "pos"], "left").withColumns({"by_pos": F.col("by.b_pos"), "rule": F.col("by.rule")})
+    return (out.withColumns({"by_label": F.col("by.label"), "by_iou": F.col("by.iou")}) if with_iou else out).drop("by")
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What a promotion needs at the same instant. Without a threshold any overlap counts; anywhere: no overlap is needed."""
+
+    label: str
+    min_prob: float = 0.0
+    min_iou: float | None = None
+    min_source_overlap: float | None = None
+    anywhere: bool = False
+
+
+@dataclass(frozen=True)
+class Promotion:
+    """A detection of `source` becomes `target` if its score is enough, no target has the duplicate IoU with it, and any (or all) of the evidence is there."""
+
+    source: str
+    target: str
+    min_prob: float = 0.0
+    duplicate_iou: float = 0.5
+    requires: tuple[Evidence, ...] = ()
+    need_all: bool = False
+
+
+def promoted(df: DataFrame, rules: list[Promotion]) -> DataFrame:
+    """Rows with outcome, rule (its place in the list) and label after promotion (J3). Evidence is judged by original labels.
+
+    A rule that finds its target already there ends the search, one without evidence leaves it to the next; the outcome is that of the
+    last rule looked at, null if no rule judged the row. rule_outcomes has the outcome of every rule looked at.
+    """
+    labels = sorted({r.source for r in rules})
+    others = sorted({r.target for r in rules} | {e.label for r in rules for e in r.requires})
+    a = prefixed(df, "a_").where(F.col("a_class_id").isin(*labels))
+    b = prefixed(df, "b_").where(F.col("b_class_id").isin(*others))
+    pairs = a.join(b, INSTANT, "left").withColumn("other", F.coalesce(F.col("b_pos") != F.col("a_pos"), F.lit(False)))
+
+    def there(e: Evidence):
+        share = covered_share("a_", "b_")
+        ok = (F.col("b_class_id") == e.label) & (F.col("b_score") >= e.min_prob)
+        if e.anywhere:
+            return ok
+        if e.min_iou is None and e.min_source_overlap is None:
+            return ok & (share > 0)
+        if e.min_iou is not None:
+            ok = ok & (iou("a_", "b_") >= e.min_iou)
+        return ok if e.min_source_overlap is None else ok & (share >= e.min_source_overlap)
+
+    flags = {}
+    for k, r in enumerate(rules):
+        flags[f"t{k}"] = (F.col("b_class_id") == r.target) & (iou("a_", "b_") >= r.duplicate_iou)
+        for j, e in enumerate(r.requires):
+            flags[f"e{k}_{j}"] = there(e)
+    seen = pairs.groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(*[F.coalesce(F.max(F.col("other") & c), F.lit(False)).alias(n) for n, c in flags.items()], F.lit(True).alias("judged"))
+    out = df.join(seen, [*INSTANT, "pos"], "left")
+    each = []
+    for k, r in enumerate(rules):
+        found = [F.col(f"e{k}_{j}") for j in range(len(r.requires))]
+        enough = F.lit(True) if not found else reduce(lambda x, y: x & y if r.need_all else x | y, found)
+        looked = F.col("judged") & (F.col("class_id") == r.source) & (F.col("score") >= r.min_prob)
+        each.append(F.when(looked, F.struct(F.when(F.col(f"t{k}"), "already_covered").when(enough, "promoted").otherwise("no_evidence").alias("outcome"), F.lit(k).alias("rule"), F.lit(r.target).alias("target"))))
+    some = F.filter(F.array(*each), lambda x: x.isNotNull())
+    # what is looked at ends with the first rule that decides
+    upto = F.coalesce(F.nullif(F.array_position(F.transform(some, lambda x: x["outcome"] != "no_evidence"), True), F.lit(0)), F.size(some).cast("long")).cast("int")
+    looked = F.when(F.size(some) > 0, F.slice(some, 1, upto))
+    out = out.withColumn("rule_outcomes", looked).withColumn("_last", F.element_at("rule_outcomes", -1))
+    out = out.withColumns({"outcome": F.col("_last.outcome"), "rule": F.col("_last.rule")}).withColumn("label", F.when(F.col("outcome") == "promoted", F.col("_last.target")).otherwise(F.col("class_id")))
+    return out.drop("_last", "judged", *flags)
+
+
+def stage_counts(spark: SparkSession, stages: dict[str, DataFrame]) -> DataFrame:
+    """Rows (stage, class_id, n) of the frames that a chain of stages leaves (A25); stages in their order."""
+    return reduce(DataFrame.unionByName, [d.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(name)) for name, d in stages.items()])
 
 
 def cross_size_dedup(df: DataFrame, min_iou: float = 0.6) -> DataFrame:

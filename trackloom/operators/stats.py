@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-def nearest_rank(values: Column, f: float) -> Column:
-    """Index round-half-even(f * (n - 1)) of the sorted values (A3)."""
-    n = F.size(values)
-    return F.element_at(values, F.bround(F.lit(f) * (n - 1)).cast("int") + 1)
+
+def nearest(f: float):
+    """Index round-half-even(f * (n - 1)) (A3)."""
+    return lambda n: F.bround(F.lit(f) * (n - 1)).cast("long")
+
+
+def value_bucket(v: Column) -> Column:
+    """A number that never falls as v rises: about 177 buckets for each power of two."""
+    up = F.floor(F.log(F.abs(v)) * 256).cast("long") + 400_000
+    return F.when(v > 0, up).when(v < 0, -up).otherwise(F.lit(0))
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict) -> DataFrame:
+    """keys, n, least, most, mean and for each name the value at an index (from 0) of the sorted values, exactly; nulls don't count.
+
+    wanted: name -> function of n. Equal values are counted together; buckets of values are added up, and only those that hold a wanted index
+    are sorted, so no group has to fit in one task, and df is computed once.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = v.groupBy(*keys, value_bucket(F.col("_v")).alias("_bucket"), "_v").agg(F.count("*").alias("_c"))
+    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    whole = W.partitionBy(*keys)
+    buckets = buckets.select(*keys, "_bucket", "_c", (F.sum("_c").over(whole.orderBy("_bucket")) - F.col("_c")).alias("_base"), F.sum("_c").over(whole).alias("n"), F.min("_lo").over(whole).alias("least"), F.max("_hi").over(whole).alias("most"), F.sum("_s").over(whole).alias("_s"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), index(F.col("n")).cast("long").alias("i")) for name, index in wanted.items()])
+    held = F.filter(asked, lambda x: (x["i"] >= F.col("_base")) & (x["i"] < F.col("_base") + F.col("_c")))
+    few = buckets.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_bucket").alias("_bucket2"), "_base", "n", "least", "most", (F.col("_s") / F.col("n")).alias("mean"), held.alias("_w")).where(F.size("_w") > 0)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_bucket") == F.col("_bucket2"))
+    order = W.partitionBy(*keys, "_bucket").orderBy("_v")
+    found = counts.join(few, same).withColumn("_to", F.col("_base") + F.sum("_c").over(order)).withColumn("_w", F.filter("_w", lambda x: (x["i"] >= F.col("_to") - F.col("_c")) & (x["i"] < F.col("_to")))).where(F.size("_w") > 0)
+    each = found.select(*keys, "n", "least", "most", "mean", "_v", F.explode("_w.name").alias("_name"))
+    return each.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "least", "most", "mean")], *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, min, p1, p25, median, p75, p99, max, mean (A1), p90 by the floor rule (A2) and the upper median (A5)."""
-    s = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), F.avg(value).alias("mean_v"), F.median(value).alias("median_v"), F.sort_array(F.collect_list(value)).alias("_v"))
-    p = {f"p{round(100 * f)}": nearest_rank(F.col("_v"), f) for f in (0.01, 0.25, 0.75, 0.99)}
-    n = F.size("_v")
-    return s.withColumns(p | {"p90_floor": F.element_at("_v", F.least(n - 1, F.floor(n * 0.9)).cast("int") + 1), "upper_median": F.element_at("_v", F.floor(n / 2).cast("int") + 1)}).drop("_v")
+    want = {f"p{round(100 * f)}": nearest(f) for f in (0.01, 0.25, 0.75, 0.99)}
+    want |= {"p90_floor": lambda n: F.least(n - 1, F.floor(n * 0.9)), "upper_median": lambda n: F.floor(n / 2), "_lo": lambda n: F.floor((n - 1) / 2)}
+    s = at_ranks(df, keys, value, want)
+    return s.select(*keys, "n", F.col("least").alias("min_v"), F.col("most").alias("max_v"), F.col("mean").alias("mean_v"), ((F.col("_lo") + F.col("upper_median")) / 2).alias("median_v"), *[c for c in want if c != "_lo"])
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
@@ -37,19 +65,20 @@ def below_share(df: DataFrame, keys: list[str], value: str, least: float) -> Dat
     return df.groupBy(*keys).agg(F.avg(F.when(F.col(value) < least, 1.0).otherwise(0.0)).alias("below"))
 
 
+#: Fixed values of the valley rule: bins, end of the low and start of the high part, least share and count of the high mass.
+VALLEY_BINS, VALLEY_LOW, VALLEY_HIGH, VALLEY_SHARE, VALLEY_COUNT = 20, 6, 10, 0.03, 30
+
+
 def valley(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """From 20 IoU buckets: a trough between a low peak (below 0.30) and a high one (from 0.50), both of enough mass, at most half the smaller."""
-    h = hist.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda s: s["n"]).alias("h"))
-    low = F.expr("array_max(slice(h, 1, 6))")
-    high = F.expr("array_max(slice(h, 11, 10))")
-    s = h.withColumns({"low": low, "high": high, "total": F.expr("aggregate(h, 0L, (a, x) -> a + x)")})
-    s = s.withColumns({"lo_at": F.expr("array_position(slice(h, 1, 6), low)"), "hi_at": F.expr("10 + array_position(slice(h, 11, 10), high)")})
+    """From IoU counts (keys, bucket, n), all buckets present: the centre of the emptiest bin, the later of equals, between the low peak and the high peak; null if the
+    high part is too small, the peaks are neighbours or the trough is over half the smaller peak (A8)."""
+    h = hist.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda s: s["n"]).alias("h"))  # one array of VALLEY_BINS a key
+    low, high = f"slice(h, 1, {VALLEY_LOW})", f"slice(h, {VALLEY_HIGH + 1}, {VALLEY_BINS - VALLEY_HIGH})"
+    s = h.selectExpr(*keys, "h", f"array_position({low}, array_max({low})) AS lo_at", f"{VALLEY_HIGH} + array_position({high}, array_max({high})) AS hi_at", f"aggregate({high}, 0L, (a, x) -> a + x) AS mass", "aggregate(h, 0L, (a, x) -> a + x) AS total", f"least(array_max({low}), array_max({high})) AS peak")
     s = s.withColumn("mid", F.expr("slice(h, cast(lo_at + 1 as int), cast(greatest(hi_at - lo_at - 1, 0) as int))")).withColumn("trough", F.array_min("mid"))
-    s = s.withColumn("at", F.expr("lo_at + size(mid) - array_position(reverse(mid), trough) + 1"))
-    mass = F.greatest(F.lit(30.0), F.col("total") * 0.03)
-    low_mass, high_mass = F.expr("aggregate(slice(h, 1, 6), 0L, (a, x) -> a + x)"), F.expr("aggregate(slice(h, 11, 10), 0L, (a, x) -> a + x)")
-    ok = (low_mass >= mass) & (high_mass >= mass) & (F.col("trough") * 2 <= F.least("low", "high"))
-    return s.select(*keys, F.when(ok, (F.col("at") - 1) / 20 + 0.025).alias("valley"))
+    at = F.expr("lo_at + size(mid) - array_position(reverse(mid), trough)")  # from 0
+    ok = (F.col("mass") >= F.greatest(F.lit(float(VALLEY_COUNT)), F.col("total") * VALLEY_SHARE)) & (F.size("mid") > 0) & (F.col("trough") * 2 <= F.col("peak"))
+    return s.select(*keys, F.when(ok, F.bround((at + 0.5) / VALLEY_BINS, 3)).alias("valley"))
 
 
 def label_seconds(df: DataFrame, rate: float, least: float = 0.5) -> DataFrame:
@@ -64,17 +93,67 @@ def pair_seconds(df: DataFrame, rate: float, least: float = 0.5) -> DataFrame:
     return pairs.groupBy("entity_id", "a", "b").agg(F.bround(F.count("*") / rate, 1).alias("seconds"))
 
 
-def box_timeline(df: DataFrame, rate: float, bucket: float = 10.0) -> DataFrame:
-    """Mean boxes a sample in each bucket, dense to the last one."""
-    counts = df.groupBy("entity_id", F.floor(F.col("t") / bucket).alias("bucket")).agg(F.count("*").alias("n"))
+def mixed_seconds(df: DataFrame, rate: float, least: float = 0.5) -> DataFrame:
+    """Seconds of an entity in which two or more labels are seen together, one decimal."""
+    n = df.where(F.col("score") >= least).groupBy("entity_id", F.bround(F.col("t") * rate).alias("i")).agg(F.countDistinct("class_id").alias("n"))
+    return n.groupBy("entity_id").agg(F.bround(F.count_if(F.col("n") >= 2) / rate, 1).alias("mixed"))
+
+
+def box_timeline(df: DataFrame, rate: float, labels: list[str] | None = None, least: float = 0.5, bucket: float = 10.0) -> DataFrame:
+    """Mean confident boxes of the labels a sample in each bucket of sample indexes, dense from 0 to the last one, three decimals."""
+    d = df.where(F.col("score") >= least)
+    d = d if labels is None else d.where(F.col("class_id").isin(*labels))
+    counts = d.groupBy("entity_id", F.floor(F.bround(F.col("t") * rate) / (rate * bucket)).alias("bucket")).agg(F.count("*").alias("n"))
     every = counts.groupBy("entity_id").agg(F.max("bucket").alias("last")).select("entity_id", F.explode(F.expr("sequence(0, last)")).alias("bucket"))
     return every.join(counts, ["entity_id", "bucket"], "left").select("entity_id", "bucket", F.bround(F.coalesce("n", F.lit(0)) / (bucket * rate), 3).alias("boxes"))
 
 
-def shifted_distance(a: Column, b: Column, most: int = 2) -> Column:
-    """Least L1 distance of two timelines over shifts of at most `most`, by the larger mass."""
+def content_signature(df: DataFrame, durations: DataFrame, rate: float, labels: list[str]) -> DataFrame:
+    """entity_id, duration, seconds (map of every label), mixed and timeline; entities of unknown duration are left out."""
+    d = df.where(F.col("class_id").isin(*labels))
+    per = label_seconds(d, rate).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "seconds"))).alias("_s"))  # one entry a label
+    line = box_timeline(d, rate, labels).groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "boxes"))), lambda x: x["boxes"]).alias("timeline"))
+    zero = F.create_map(*[x for n in sorted(labels) for x in (F.lit(n), F.lit(0.0))])
+    seconds = F.transform_values(zero, lambda k, v: F.coalesce(F.try_element_at("_s", k), v))
+    out = durations.where("duration > 0").join(per, "entity_id", "left").join(mixed_seconds(d, rate), "entity_id", "left").join(line, "entity_id", "left")
+    return out.select("entity_id", "duration", seconds.alias("seconds"), F.coalesce("mixed", F.lit(0.0)).alias("mixed"), F.coalesce("timeline", F.array().cast("array<double>")).alias("timeline"))
+
+
+def shifted_distance(a: Column, b: Column, shifts: Column) -> Column:
+    """Least share of boxes in which two timelines differ where they overlap, over shifts up to `shifts` either way; null if no shift has boxes."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda p, q: p + q)
-    pad = lambda x, k: F.concat(F.array_repeat(F.lit(0.0), k), x)
-    one = lambda x, y: total(F.zip_with(x, y, lambda p, q: F.abs(F.coalesce(p, F.lit(0.0)) - F.coalesce(q, F.lit(0.0)))))
-    every = [one(pad(a, max(k, 0)), pad(b, max(-k, 0))) for k in range(-most, most + 1)]
-    return F.least(*every) / F.greatest(total(a), total(b))
+
+    def one(k):
+        n = F.least(F.size(a) - F.greatest(-k, F.lit(0)), F.size(b) - F.greatest(k, F.lit(0)))
+        x = F.slice(a, F.greatest(-k, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
+        y = F.slice(b, F.greatest(k, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
+        apart = total(F.zip_with(x, y, lambda p, q: F.abs(p - q)))
+        return F.when((n > 0) & (F.greatest(total(x), total(y)) > 0), F.try_divide(apart, F.greatest(total(x), total(y))))
+
+    return F.array_min(F.transform(F.sequence(-shifts, shifts), one))
+
+
+#: When two contents are the same footage.
+SAME_DURATION, SAME_SECONDS, SAME_FLOOR, SAME_LABELLED, SAME_TIMELINE, TIMELINE_BUCKET = 0.02, 0.06, 2.0, 30.0, 0.10, 10.0
+
+
+def same_content(a: str, b: str) -> Column:
+    """Whether two signatures (columns with these prefixes) are the same footage."""
+    c = lambda p, n: F.col(f"{p}{n}")
+    close = lambda x, y, share, floor=0.0: F.abs(x - y) <= F.greatest(F.greatest(x, y) * share, F.lit(floor))
+    shown = lambda p: F.aggregate(F.map_values(c(p, "seconds")), F.lit(0.0), lambda x, y: x + y)
+    names = F.array_union(F.map_keys(c(a, "seconds")), F.map_keys(c(b, "seconds")))
+    of = lambda p, k: F.coalesce(F.try_element_at(c(p, "seconds"), k), F.lit(0.0))
+    totals = close(c(a, "duration"), c(b, "duration"), SAME_DURATION) & (shown(a) >= SAME_LABELLED) & (shown(b) >= SAME_LABELLED) & F.forall(names, lambda k: close(of(a, k), of(b, k), SAME_SECONDS, SAME_FLOOR)) & close(c(a, "mixed"), c(b, "mixed"), SAME_SECONDS, SAME_FLOOR)
+    shifts = F.ceil(F.greatest(c(a, "duration"), c(b, "duration")) * SAME_DURATION / TIMELINE_BUCKET).cast("int")
+    lines = (F.size(c(a, "timeline")) == 0) | (F.size(c(b, "timeline")) == 0) | F.coalesce(shifted_distance(c(a, "timeline"), c(b, "timeline"), shifts) <= SAME_TIMELINE, F.lit(False))
+    return totals & lines
+
+
+def same_footage(signatures: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Pairs (a, b), a < b, of signatures of the same footage (J18). Durations are dealt to logarithmic buckets, so it is an equi-join."""
+    k = F.floor(F.log("duration") / F.log(F.lit(1 / (1 - SAME_DURATION))))
+    cols = ["duration", "seconds", "mixed", "timeline"]
+    left = signatures.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols], F.explode(F.array(k - 1, k, k + 1)).alias("_k"))
+    right = signatures.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols], k.alias("_k"))
+    return left.join(right, "_k").where(F.col("a") < F.col("b")).where(same_content("a_", "b_")).select("a", "b")

@@ -49,8 +49,24 @@ def bhattacharyya(a: Column, b: Column) -> Column:
 
 
 def cuts(samples: DataFrame, threshold: float, key: str = "entity_id", order: str = "t", hist: str = "hist") -> DataFrame:
-    """Samples far from both samples before, and whose successor is still far from what was before; a last one needs none."""
+    """Samples at least the threshold from both samples before, whose successor is still that far from the state before the cut, two samples back; a last one needs no
+    successor, and the first two are no cuts (W6)."""
     w = W.partitionBy(key).orderBy(order)
     s = samples.withColumns({"_p": F.lag(hist).over(w), "_pp": F.lag(hist, 2).over(w), "_n": F.lead(hist).over(w)})
-    far = lambda a, b: bhattacharyya(F.col(a), F.col(b)) > threshold
-    return s.where(F.col("_p").isNotNull() & far(hist, "_p") & (F.col("_pp").isNull() | far(hist, "_pp")) & (F.col("_n").isNull() | far("_n", "_p"))).drop("_p", "_pp", "_n")
+    far = lambda a, b: bhattacharyya(F.col(a), F.col(b)) >= threshold
+    return s.where(F.col("_pp").isNotNull() & far(hist, "_p") & far(hist, "_pp") & (F.col("_n").isNull() | far("_n", "_pp"))).drop("_p", "_pp", "_n")
+
+
+def faded(a: Column, b: Column, share: Column) -> Column:
+    """Two frames of equal size (arrays) mixed: share of the second."""
+    return F.zip_with(a, b, lambda x, y: x * (1 - share) + y * share)
+
+
+def decode_masks(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """df (image, person, coefficients, prototypes: array of planes of height x width, high, wide) -> bits (array of 0 and 1, by row) of each person's mask.
+
+    A mask is 1 where the logistic of the weighted sum of prototypes is over the threshold."""
+    planes = F.transform(F.arrays_zip("coefficients", "prototypes"), lambda p: F.transform(p["prototypes"], lambda v: v * p["coefficients"]))
+    zero = F.transform(F.element_at("prototypes", 1), lambda v: F.lit(0.0))
+    total = F.aggregate(planes, zero, lambda acc, p: F.zip_with(acc, p, lambda x, y: x + y))
+    return df.select("image", "person", "high", "wide", F.transform(total, lambda v: (1 / (1 + F.exp(-v)) > threshold).cast("int")).alias("bits"))

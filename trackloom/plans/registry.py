@@ -13,6 +13,7 @@ from ..streaming import live
 
 RULES = [("label_a", "label_b", 0.3, 0.1), ("label_c", "label_b", 0.4, 0.2)]
 FRAME = 500.0 * 460.0
+PROFILES = [structure.Profile("mixed", 0.002), structure.Profile("busy", 0.0025, fps=18.0), structure.Profile("hand", 0.0001, manual=True), structure.Profile("calm")]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -48,20 +49,23 @@ def suppress_counts(spark, sf):
     return out.groupBy("class_id").agg(F.count("*").alias("n"), F.count("by_pos").alias("suppressed"))
 
 
-@query(f""", f AS (SELECT a.entity_id, a.sample_index, a.pos, coalesce(bool_or(b.class_id = 'label_c' AND {_IX} * {_IY} / (a.w * a.h) >= 0.3), false) AS has_t, coalesce(bool_or(b.class_id = 'label_b' AND {_IX} * {_IY} / (a.w * a.h) >= 0.3), false) AS has_e
- FROM det a LEFT JOIN det b ON {_SAME} AND b.class_id IN ('label_b', 'label_c') WHERE a.class_id = 'label_a' AND a.score >= 0.4 GROUP BY 1, 2, 3)
- SELECT class_id, CASE WHEN f.pos IS NULL THEN 'not_judged' WHEN has_t THEN 'already_covered' WHEN has_e THEN 'promoted' ELSE 'no_evidence' END AS outcome, count(*) AS n FROM det LEFT JOIN f USING (entity_id, sample_index, pos) GROUP BY 1, 2""")
+@query(f""", f AS (SELECT a.entity_id, a.sample_index, a.pos, coalesce(bool_or(b.class_id = 'label_c' AND {_IOU} >= 0.5), false) AS has_t, coalesce(bool_or(b.class_id = 'label_b' AND b.score >= 0.2 AND {_IX} * {_IY} / (a.w * a.h) >= 0.3), false) AS has_e
+ FROM det a LEFT JOIN det b ON {_SAME} AND a.pos <> b.pos WHERE a.class_id = 'label_a' AND a.score >= 0.4 GROUP BY 1, 2, 3)
+ SELECT class_id, CASE WHEN f.pos IS NULL THEN 'not_judged' WHEN has_t THEN 'already_covered' WHEN has_e THEN 'promoted' ELSE 'no_evidence' END AS outcome, count(*) AS n, sum(sample_index * 10 + pos)::BIGINT AS rows FROM det LEFT JOIN f USING (entity_id, sample_index, pos) GROUP BY 1, 2""")
 def promote_labels(spark, sf):
-    out = stages.promoted(detections(spark, sf), "label_a", "label_b", "label_c", 0.4, 0.3)
-    return out.groupBy("class_id", F.coalesce("outcome", F.lit("not_judged")).alias("outcome")).agg(F.count("*").alias("n"))
+    out = stages.promoted(detections(spark, sf), [stages.Promotion("label_a", "label_c", 0.4, 0.5, (stages.Evidence("label_b", 0.2, min_source_overlap=0.3),))])
+    return out.groupBy("class_id", F.coalesce("outcome", F.lit("not_judged")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.col("sample_index") * 10 + F.col("pos")).alias("rows"))
 
 
-@query(f""", g AS (SELECT class_id, w, h, CASE WHEN w * h / {FRAME} < 0.02 THEN 'too_small' WHEN w * h / {FRAME} > 0.15 THEN 'too_large' WHEN w / h < 0.6 THEN 'too_tall' WHEN w / h > 2.5 THEN 'too_wide' ELSE 'none' END AS reason FROM det)
- SELECT class_id, reason, CASE reason WHEN 'too_small' THEN 'drop' WHEN 'none' THEN 'keep' ELSE 'clamp' END AS action, count(*) AS n, round(sum(CASE WHEN w * h / {FRAME} > 0.15 THEN w * sqrt(0.15 / (w * h / {FRAME})) WHEN w / h > 2.5 THEN h * 2.5 ELSE w END), 3) AS width FROM g GROUP BY 1, 2, 3""")
+@query(f""", g AS (SELECT *, CASE WHEN w * h / {FRAME} < 0.02 THEN 'too_small' WHEN w * h / {FRAME} > 0.15 THEN 'too_large' WHEN coalesce(w / nullif(h, 0), 0) < 0.6 THEN 'too_tall' WHEN coalesce(w / nullif(h, 0), 0) > 2.5 THEN 'too_wide' ELSE 'none' END AS reason FROM det),
+ c AS (SELECT *, greatest(1, least(500, CASE reason WHEN 'too_large' THEN w * sqrt(0.15 * {FRAME} / (w * h)) WHEN 'too_wide' THEN h * 2.5 ELSE w END)) AS nw, greatest(1, least(460, CASE reason WHEN 'too_large' THEN h * sqrt(0.15 * {FRAME} / (w * h)) ELSE h END)) AS nh FROM g)
+ SELECT class_id, reason, CASE reason WHEN 'too_small' THEN 'drop' WHEN 'too_tall' THEN 'drop' WHEN 'none' THEN 'keep' ELSE 'clamp' END AS action, count(*) AS n, round(sum(CASE WHEN reason IN ('too_large', 'too_wide') THEN nw ELSE w END), 3) AS width,
+ round(sum(CASE WHEN reason IN ('too_large', 'too_wide') THEN greatest(0, least(x + w / 2 - nw / 2, 500 - nw)) ELSE x END), 3) AS left_edge, round(sum(CASE WHEN reason IN ('too_large', 'too_wide') THEN greatest(0, least(y + h / 2 - nh / 2, 460 - nh)) ELSE y END), 3) AS top_edge FROM c GROUP BY 1, 2, 3""")
 def geometry_actions(spark, sf):
-    reason = B.geometry_reason(FRAME, 0.02, 0.15, 0.6, 2.5)
-    out = detections(spark, sf).withColumn("reason", F.coalesce(reason, F.lit("none"))).withColumns(B.clamped(FRAME, 0.15, 2.5))
-    return out.groupBy("class_id", "reason", B.geometry_action(F.col("reason")).alias("action")).agg(F.count("*").alias("n"), F.round(F.sum("cw"), 3).alias("width"))
+    out = detections(spark, sf).withColumn("reason", B.geometry_reason(FRAME, 0.02, 0.15, 0.6, 2.5))
+    out = out.withColumns(B.clamped(F.col("reason"), 500, 460, 0.15, 2.5))
+    sums = [F.round(F.sum(c), 3).alias(n) for n, c in (("width", "cw"), ("left_edge", "cx"), ("top_edge", "cy"))]
+    return out.groupBy("class_id", F.coalesce("reason", F.lit("none")).alias("reason"), B.geometry_action(F.col("reason")).alias("action")).agg(F.count("*").alias("n"), *sums)
 
 
 @query("""SELECT class_id, score <= p AND c IS NOT NULL AS provisional, count(*) AS n, round(sum(greatest(t - 0.15, 0)), 3) AS starts, round(sum(t + 0.15), 3) AS stops
@@ -71,10 +75,10 @@ def entry_gate(spark, sf):
     return out.groupBy("class_id", "provisional").agg(F.count("*").alias("n"), F.round(F.sum("start"), 3).alias("starts"), F.round(F.sum("stop"), 3).alias("stops"))
 
 
-@query("""SELECT class_id, sum(greatest(floor(x - w * 0.1), 0))::BIGINT AS px, sum(greatest(least(ceil(w * 1.2), 500 - greatest(floor(x - w * 0.1), 0)), 1))::BIGINT AS pw,
- sum(greatest(floor(y - h * 0.1), 0))::BIGINT AS py, sum(greatest(least(ceil(h * 1.2), 460 - greatest(floor(y - h * 0.1), 0)), 1))::BIGINT AS ph FROM det GROUP BY 1""")
+@query("""SELECT class_id, sum(least(floor(greatest(0, x - w * 0.2 / 2)), 499))::BIGINT AS px, sum(greatest(1, ceil(least(500 - least(floor(greatest(0, x - w * 0.2 / 2)), 499), w * 1.2))))::BIGINT AS pw,
+ sum(least(floor(greatest(0, y - h * 0.2 / 2)), 459))::BIGINT AS py, sum(greatest(1, ceil(least(460 - least(floor(greatest(0, y - h * 0.2 / 2)), 459), h * 1.2))))::BIGINT AS ph FROM det GROUP BY 1""")
 def padded_boxes(spark, sf):
-    out = detections(spark, sf).withColumns(B.padded(0.1, 500, 460))
+    out = detections(spark, sf).withColumns(B.padded(0.2, 500, 460))
     return out.groupBy("class_id").agg(*[F.sum(c).alias(c) for c in ("px", "pw", "py", "ph")])
 
 
@@ -95,12 +99,15 @@ def cross_size_dedup(spark, sf):
     return stages.cross_size_dedup(detections(spark, sf), 0.3).groupBy("class_id").agg(F.count("*").alias("kept"))
 
 
-@query(f"""SELECT a.class_id AS a, b.class_id AS b, count(*) AS n, round(avg({_IOU}), 6) AS mean_iou, round(quantile_cont(a.score - b.score, 0.5), 6) AS margin, round(avg(least(a.w * a.h, b.w * b.h) / greatest(a.w * a.h, b.w * b.h)), 6) AS ratio
+@query(f"""SELECT a.class_id AS a, b.class_id AS b, count(*) AS n, round(avg({_IOU}), 6) AS mean_iou, round(median(a.score - b.score), 6) AS margin, round(avg(least(a.w * a.h, b.w * b.h) / greatest(a.w * a.h, b.w * b.h)), 6) AS ratio
  FROM det a JOIN det b ON {_SAME} AND a.pos <> b.pos WHERE {_IOU} > 0 GROUP BY 1, 2""")
 def pair_iou_stats(spark, sf):
     p = stages.same_instant_pairs(detections(spark, sf)).where("iou > 0")
     a, b = B.area("a_"), B.area("b_")
-    return p.groupBy(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).agg(F.count("*").alias("n"), r6(F.avg("iou")).alias("mean_iou"), r6(F.median(F.col("a_score") - F.col("b_score"))).alias("margin"), r6(F.avg(F.least(a, b) / F.greatest(a, b))).alias("ratio"))
+    p = p.select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b"), "iou", (F.col("a_score") - F.col("b_score")).alias("margin"), (F.least(a, b) / F.greatest(a, b)).alias("ratio"))
+    means = p.groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.avg("iou")).alias("mean_iou"), r6(F.avg("ratio")).alias("ratio"))
+    mid = stats.at_ranks(p, ["a", "b"], "margin", {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2)})
+    return means.join(mid.select("a", "b", r6((F.col("_lo") + F.col("_hi")) / 2).alias("margin")), ["a", "b"])
 
 
 @query(""", s AS (SELECT class_id, list_sort(list(score)) AS v, round(avg(score), 6) AS mean_v, round(median(score), 6) AS median_v FROM det GROUP BY 1)
@@ -137,10 +144,10 @@ def pair_seconds(spark, sf):
     return stats.pair_seconds(detections(spark, sf), 10.0)
 
 
-@query(""", c AS (SELECT entity_id, floor(t / 10)::BIGINT AS bucket, count(*) AS n FROM det GROUP BY 1, 2), m AS (SELECT entity_id, unnest(range(max(bucket) + 1)) AS bucket FROM c GROUP BY entity_id)
+@query(""", c AS (SELECT entity_id, floor(round_even(t * 10, 0) / 100)::BIGINT AS bucket, count(*) AS n FROM det WHERE score >= 0.5 AND class_id IN ('label_a', 'label_b') GROUP BY 1, 2), m AS (SELECT entity_id, unnest(range(max(bucket) + 1)) AS bucket FROM c GROUP BY entity_id)
  SELECT entity_id, bucket, round_even(coalesce(n, 0) / 100.0, 3)::DOUBLE AS boxes FROM m LEFT JOIN c USING (entity_id, bucket)""")
 def box_timeline(spark, sf):
-    return stats.box_timeline(detections(spark, sf), 10.0)
+    return stats.box_timeline(detections(spark, sf), 10.0, ["label_a", "label_b"])
 
 
 _CUTS = """, c AS (SELECT entity_id, t, lag(t, 1, 0.0) OVER (PARTITION BY entity_id ORDER BY t) AS before FROM ev),
@@ -157,14 +164,15 @@ def structure_signals(spark, sf):
     return _cut_signals(spark, sf).withColumns({c: r6(c) for c in ("cuts_per_min", "short_shot_fraction", "median_shot_seconds")})
 
 
-@query(""", p AS (SELECT entity_id, 60.0 * count(*) / 2678400.0 AS v FROM ev GROUP BY 1) SELECT entity_id, CASE WHEN v >= 0.0025 THEN 'busy' WHEN v >= 0.002 THEN 'mixed' ELSE 'calm' END AS profile FROM p""", "ev")
+@query(""", p AS (SELECT entity_id, 60.0 * count(*) / 2678400.0 AS v FROM ev GROUP BY 1) SELECT entity_id, CASE WHEN v >= 0.0025 THEN 'busy' WHEN v >= 0.002 THEN 'mixed' ELSE 'calm' END AS profile, CASE WHEN v >= 0.0025 THEN 18.0 ELSE 10.0 END::DOUBLE AS fps FROM p""", "ev")
 def profile_pick(spark, sf):
-    return structure.pick_profile(_cut_signals(spark, sf), [("mixed", 0.002), ("busy", 0.0025), ("manual", None)], "calm").select("entity_id", "profile")
+    out = structure.pick_profile(_cut_signals(spark, sf), PROFILES, None)
+    return out.select("entity_id", "profile", structure.sample_rate(F.col("profile"), PROFILES, 10.0).alias("fps"))
 
 
 @query(""", a AS (SELECT *, CASE WHEN t - lag(t) OVER o < 20000 - 1e-6 THEN 0 ELSE 1 END AS new FROM ev WINDOW o AS (PARTITION BY entity_id ORDER BY t)), b AS (SELECT *, sum(new) OVER (PARTITION BY entity_id ORDER BY t) AS k FROM a),
  c AS (SELECT entity_id, k, count(*) AS n, max(t) - min(t) AS span FROM b GROUP BY 1, 2)
- SELECT entity_id, count(*) FILTER (n > 1 AND span <= 60000) AS bursts, coalesce(sum(n) FILTER (n > 1 AND span <= 60000), 0)::BIGINT AS cuts_in_bursts, coalesce(max(n) FILTER (n > 1 AND span <= 60000), 0) AS longest FROM c GROUP BY 1""", "ev")
+ SELECT entity_id, count(*) FILTER (n > 1 AND span <= 60000 + 1e-6) AS bursts, coalesce(sum(n) FILTER (n > 1 AND span <= 60000 + 1e-6), 0)::BIGINT AS cuts_in_bursts, coalesce(max(n) FILTER (n > 1 AND span <= 60000 + 1e-6), 0) AS longest FROM c GROUP BY 1""", "ev")
 def burst_census(spark, sf):
     b = intervals.bursts(timeline(spark, sf), "entity_id", 20000.0, 60000.0)
     n = F.when(F.col("burst"), F.col("n"))
@@ -200,7 +208,7 @@ def _single_tracks(spark, sf):
  c AS (SELECT entity_id, k, count(*) AS n, sum(trunc(least(value, 90.0)))::BIGINT AS w FROM b GROUP BY 1, 2 HAVING count(*) >= 2) SELECT entity_id, count(*) AS tracks, sum(n)::BIGINT AS boxes, sum(w)::BIGINT AS width FROM c GROUP BY 1""", "ev")
 def track_single(spark, sf):
     t = _single_tracks(spark, sf)
-    return t.groupBy("entity_id").agg(F.countDistinct("track").alias("tracks"), F.count("*").alias("boxes"), F.sum(F.col("w").cast("long")).alias("width"))
+    return t.groupBy("entity_id").agg(F.countDistinct("segment", "track").alias("tracks"), F.count("*").alias("boxes"), F.sum(F.col("w").cast("long")).alias("width"))
 
 
 @query()
@@ -231,28 +239,6 @@ def resample_grid(spark, sf):
     return out.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
-def _boxes(spark, sf, k: int):
-    d = detections(spark, sf).where(F.col("pos") % 3 == k)
-    return d.select((F.col("sample_index") * 16000 + F.col("entity_id") * 1000 + F.col("pos")).alias("id"), "entity_id", "class_id", (F.col("t") - 0.2).alias("start"), (F.col("t") + 0.2).alias("stop"), "x", "y", "w", "h")
-
-
-_AB = """, a AS (SELECT sample_index * 16000 + entity_id * 1000 + pos AS id, * FROM det WHERE pos % 3 = 0), b AS (SELECT sample_index * 16000 + entity_id * 1000 + pos AS id, * FROM det WHERE pos % 3 = 1),"""
-
-
-@query(f"""{_AB} h AS (SELECT a.id AS ai, b.id AS bi FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 <= b.t + 0.2 AND b.t - 0.2 <= a.t + 0.2 AND {_IOU} >= 0.3),
- l AS (SELECT entity_id, count(*) FILTER (id IN (SELECT ai FROM h)) AS in_both, count(*) FILTER (id NOT IN (SELECT ai FROM h)) AS current_only FROM a GROUP BY 1), r AS (SELECT entity_id, count(*) FILTER (id NOT IN (SELECT bi FROM h)) AS proposed_only FROM b GROUP BY 1)
- SELECT coalesce(l.entity_id, r.entity_id) AS entity_id, coalesce(in_both, 0) AS in_both, coalesce(current_only, 0) AS current_only, coalesce(proposed_only, 0) AS proposed_only FROM l FULL JOIN r ON l.entity_id = r.entity_id""")
-def ab_diff(spark, sf):
-    return diff.ab_diff(_boxes(spark, sf, 0), _boxes(spark, sf, 1))
-
-
-@query("""SELECT class_id, count(*) AS n FROM det d WHERE pos % 3 = 2 AND NOT EXISTS (SELECT 1 FROM det b WHERE b.pos % 3 = 0 AND b.entity_id = d.entity_id AND b.class_id = d.class_id AND b.sample_index BETWEEN d.sample_index - 3 AND d.sample_index + 3
- AND d.t >= b.t - 0.2 AND d.t <= b.t + 0.2 AND d.x + d.w / 2 BETWEEN b.x AND b.x + b.w AND d.y + d.h / 2 BETWEEN b.y AND b.y + b.h) GROUP BY 1""")
-def uncovered(spark, sf):
-    boxes = _boxes(spark, sf, 0).drop("id").withColumnsRenamed({c: f"b{c}" for c in "xywh"})
-    return diff.uncovered(detections(spark, sf).where("pos % 3 = 2"), boxes).groupBy("class_id").agg(F.count("*").alias("n"))
-
-
 @query(""", c AS (SELECT entity_id, class_id, sum(w * h) FILTER (score > 0.3) AS before, coalesce(sum(w * h) FILTER (score > 0.5), 0) AS after FROM det GROUP BY 1, 2) SELECT entity_id, class_id, round((after - before) / before, 6) AS change FROM c WHERE before > 0""")
 def coverage_change(spark, sf):
     d = detections(spark, sf)
@@ -301,7 +287,7 @@ def in_every_configuration(spark, sf):
     return diff.in_every(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag")
 
 
-@query("""WITH c AS (SELECT o_custkey AS k, sum(o_totalprice) AS d, count(*)::DOUBLE AS m FROM orders GROUP BY 1) SELECT a.k AS a_k, b.k AS b_k FROM c a JOIN c b ON a.k < b.k AND greatest(a.d, b.d) <= least(a.d, b.d) * 1.002 AND abs(a.m - b.m) <= 0.05 * greatest(a.m, b.m, 1e-9)""", "")
+@query("""WITH c AS (SELECT o_custkey AS k, sum(o_totalprice) AS d, count(*)::DOUBLE AS m FROM orders GROUP BY 1) SELECT a.k AS a_k, b.k AS b_k FROM c a JOIN c b ON a.k < b.k AND a.d > 0 AND b.d > 0 AND abs(a.d - b.d) <= 0.002 * greatest(a.d, b.d) AND abs(a.m - b.m) <= greatest(0.06 * greatest(a.m, b.m), 2.0)""", "")
 def near_duplicate_runs(spark, sf):
     c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("d"), F.count("*").cast("double").alias("m"))
     return catalog.near_duplicates(c, "k", "d", ["m"], 0.002)
@@ -312,40 +298,17 @@ _D = lambda a, b: f"sqrt(greatest(1 - list_sum(list_transform(range(1, len({a})
 
 
 @query(f"""WITH h AS (SELECT vec_id, label, {_H} AS h FROM embeddings), w AS (SELECT *, lag(h) OVER o AS p, lag(h, 2) OVER o AS pp, lead(h) OVER o AS nx FROM h WINDOW o AS (PARTITION BY label ORDER BY vec_id))
- SELECT label, count(*) AS cuts FROM w WHERE p IS NOT NULL AND {_D('h', 'p')} > 0.38 AND (pp IS NULL OR {_D('h', 'pp')} > 0.38) AND (nx IS NULL OR {_D('nx', 'p')} > 0.38) GROUP BY 1""", "")
+ SELECT label, count(*) AS cuts, sum(vec_id)::BIGINT AS ids FROM w WHERE pp IS NOT NULL AND {_D('h', 'p')} >= 0.38 AND {_D('h', 'pp')} >= 0.38 AND (nx IS NULL OR {_D('nx', 'pp')} >= 0.38) GROUP BY 1""", "")
 def cut_detector(spark, sf):
     h = table(spark, sf, "embeddings").select(F.col("label").alias("entity_id"), F.col("vec_id").alias("t"), tensor.normalised(F.col("embedding")).alias("hist"))
-    return tensor.cuts(h, 0.38).groupBy(F.col("entity_id").alias("label")).agg(F.count("*").alias("cuts"))
+    return tensor.cuts(h, 0.38).groupBy(F.col("entity_id").alias("label")).agg(F.count("*").alias("cuts"), F.sum("t").alias("ids"))
 
 
-@query(f"""{_AB} d AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM det WHERE pos % 3 = 2),
- h AS (SELECT a.id, d.class_id AS rule, count(*) AS n FROM a JOIN d ON a.entity_id = d.entity_id AND d.sample_index BETWEEN a.sample_index - 3 AND a.sample_index + 3 AND d.t >= a.t - 0.2 AND d.t <= a.t + 0.2
- AND d.cx BETWEEN a.x AND a.x + a.w AND d.cy BETWEEN a.y AND a.y + a.h GROUP BY 1, 2), p AS (SELECT id, rule, row_number() OVER (PARTITION BY id ORDER BY n DESC, rule) AS r FROM h)
- SELECT a.class_id, coalesce(p.rule, 'tracking') AS cause, count(*) AS n FROM a LEFT JOIN p ON a.id = p.id AND p.r = 1 GROUP BY 1, 2""")
-def cause_attribution(spark, sf):
-    dropped = detections(spark, sf).where("pos % 3 = 2").withColumnRenamed("class_id", "rule")
-    return review.causes(_boxes(spark, sf, 0), dropped).groupBy("class_id", "cause").agg(F.count("*").alias("n"))
-
-
-@query(f"""{_AB} h AS (SELECT DISTINCT a.id FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 < b.t + 0.2 AND b.t - 0.2 < a.t + 0.2
- AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h) SELECT class_id, count(*) AS n FROM a WHERE id IN (SELECT id FROM h) GROUP BY 1""")
-def nearby_boxes(spark, sf):
-    return review.nearby(_boxes(spark, sf, 0), _boxes(spark, sf, 1)).groupBy("class_id").agg(F.count("*").alias("n"))
-
-
-@query(""", a AS (SELECT * FROM ev WHERE event_id % 2 = 0), b AS (SELECT * FROM ev WHERE event_id % 2 = 1)
+@query(""", a AS (SELECT * FROM ev WHERE label = 'purchase'), b AS (SELECT * FROM ev WHERE label <> 'purchase')
  SELECT entity_id, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entity_id = a.entity_id AND a.t < b.t + 3000 AND b.t < a.t + 3000) GROUP BY 1""", "ev")
 def events_only_in_first(spark, sf):
-    half = lambda k: timeline(spark, sf).where(F.col("event_id") % 2 == k).select(F.col("event_id").alias("id"), "entity_id", F.col("t").alias("start"), (F.col("t") + 3000).alias("stop"))
-    return review.only_in_first(half(0), half(1), ["entity_id"], 6000.0).groupBy("entity_id").agg(F.count("*").alias("n"))
-
-
-@query(""", m AS (SELECT entity_id, unnest(range(floor(max(t))::BIGINT + 1)) AS i FROM det GROUP BY 1), h AS (SELECT m.entity_id, m.i, count(*) AS live FROM m JOIN det a ON a.entity_id = m.entity_id AND a.pos % 3 = 0
- AND a.sample_index BETWEEN m.i * 10 - 5 AND m.i * 10 + 5 AND a.t - 0.2 <= m.i AND m.i <= a.t + 0.2 GROUP BY 1, 2) SELECT entity_id, sum(live)::BIGINT AS total, max(live) AS most FROM h GROUP BY 1""")
-def live_history(spark, sf):
-    last = detections(spark, sf).groupBy("entity_id").agg(F.floor(F.max("t")).alias("last"))
-    grid = last.select("entity_id", F.explode(F.expr("sequence(0L, last)")).alias("i")).select("entity_id", F.col("i").cast("double").alias("t"))
-    return review.live_history(grid, _boxes(spark, sf, 0), ["entity_id"]).groupBy("entity_id").agg(F.sum("live").alias("total"), F.max("live").alias("most"))
+    spans = timeline(spark, sf).select(F.col("event_id").alias("id"), "entity_id", "label", F.col("t").alias("start"), (F.col("t") + 3000).alias("stop"))
+    return review.only_in_first(spans.where("label = 'purchase'"), spans.where("label <> 'purchase'"), ["entity_id"], 6000.0).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
 def _side(spark, sf, size: int | None = None):
@@ -354,7 +317,7 @@ def _side(spark, sf, size: int | None = None):
     return d.select((F.col("sample_index") * 16000 + F.col("entity_id") * 1000 + F.col("pos")).alias("id"), "entity_id", "class_id", (F.col("t") - 0.2).alias("start"), (F.col("t") + 0.2).alias("stop"), "x", "y", "w", "h")
 
 
-_SIZES = _AB.replace("pos % 3 = 0", "size = 320").replace("pos % 3 = 1", "size = 640")
+_SIZES = """, a AS (SELECT sample_index * 16000 + entity_id * 1000 + pos AS id, * FROM det WHERE size = 320), b AS (SELECT sample_index * 16000 + entity_id * 1000 + pos AS id, * FROM det WHERE size = 640),"""
 
 
 @query(f"""{_SIZES} h AS (SELECT a.id AS ai, b.id AS bi FROM a JOIN b ON a.entity_id = b.entity_id AND a.class_id = b.class_id AND a.sample_index BETWEEN b.sample_index - 5 AND b.sample_index + 5 AND a.t - 0.2 <= b.t + 0.2 AND b.t - 0.2 <= a.t + 0.2 AND {_IOU} >= 0.3),
@@ -396,16 +359,16 @@ def gap_joined_events(spark, sf):
     return intervals.islands(spans, ["entity_id", "label"], gap=50000.0, strict=True).groupBy("entity_id", "label").agg(F.count("*").alias("merged"))
 
 
-@query(f""", s AS (SELECT class_id, list_sort(list(w * h / {FRAME}::DOUBLE)) AS a, list_sort(list(w / h)) AS r FROM det GROUP BY 1)
- SELECT class_id, len(a) AS n, round(a[round_even(0.01 * (len(a) - 1), 0)::INT + 1] / 1.1, 6) AS area_lo, round(a[round_even(0.99 * (len(a) - 1), 0)::INT + 1] * 1.1, 6) AS area_hi,
- round(r[round_even(0.01 * (len(r) - 1), 0)::INT + 1] / 1.1, 6) AS aspect_lo, round(r[round_even(0.99 * (len(r) - 1), 0)::INT + 1] * 1.1, 6) AS aspect_hi FROM s""")
+@query(f""", s AS (SELECT class_id, count(*) AS n, list_sort(list(w * h / {FRAME}::DOUBLE)) AS a, list_sort(list(w / h) FILTER (h <> 0)) AS r FROM det GROUP BY 1)
+ SELECT class_id, n, round_even(a[round_even(0.01 * (len(a) - 1), 0)::INT + 1] / 1.1, 6) AS area_lo, round_even(least(1.0, a[round_even(0.99 * (len(a) - 1), 0)::INT + 1] * 1.1), 6) AS area_hi,
+ round_even(r[round_even(0.01 * (len(r) - 1), 0)::INT + 1] / 1.1, 3) AS aspect_lo, round_even(r[round_even(0.99 * (len(r) - 1), 0)::INT + 1] * 1.1, 3) AS aspect_hi FROM s""")
 def geometry_bounds(spark, sf):
-    return review.geometry_bounds(detections(spark, sf), FRAME).withColumns({c: r6(c) for c in ("area_lo", "area_hi", "aspect_lo", "aspect_hi")})
+    return review.geometry_bounds(detections(spark, sf), FRAME)
 
 
-@query("""SELECT class_id, v[round_even(0.25 * (len(v) - 1), 0)::INT + 1] AS start_at, round((v[round_even(0.25 * (len(v) - 1), 0)::INT + 1] + 0.12) / 2, 6) AS continue_at FROM (SELECT class_id, list_sort(list(score)) AS v FROM det GROUP BY 1)""")
+@query("""SELECT class_id, n, s AS start_at, round_even(greatest(0.125, 0.12 + (s - 0.12) / 2), 3)::DOUBLE AS continue_at FROM (SELECT class_id, len(v) AS n, round_even(greatest(0.13, v[round_even(0.25 * (len(v) - 1), 0)::INT + 1]), 3)::DOUBLE AS s FROM (SELECT class_id, list_sort(list(score)) AS v FROM det GROUP BY 1))""")
 def hysteresis_suggestion(spark, sf):
-    return review.hysteresis(detections(spark, sf), 0.12).withColumn("continue_at", r6("continue_at"))
+    return review.hysteresis(detections(spark, sf), 0.12)
 
 
 @query("""SELECT CASE WHEN u < 1 THEN 'bar' WHEN u < 4 THEN 'blur' ELSE 'sticker' END AS style, count(*) AS n FROM (SELECT ('0x' || left(md5(o_orderkey::VARCHAR), 8))::BIGINT / 4294967296.0::DOUBLE * 5 AS u FROM orders) GROUP BY 1""", "")
@@ -416,7 +379,7 @@ def style_draw(spark, sf):
 
 @query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 5", "")
 def subset_of_each(spark, sf):
-    return review.first_of_each(table(spark, sf, "orders"), "o_orderpriority", ["o_orderdate", "o_orderkey"], 5).select("o_orderpriority", "o_orderkey")
+    return catalog.first_of_folder(table(spark, sf, "orders"), "o_orderpriority", ["o_orderdate", "o_orderkey"], 5).select("o_orderpriority", "o_orderkey")
 
 
 @query("""SELECT o_custkey, round(p / w, 6) AS share FROM (SELECT o_custkey, sum((o_orderstatus = 'F')::INT)::DOUBLE AS p, count(*)::DOUBLE AS w FROM orders GROUP BY 1) WHERE w >= 5 AND p > 0 ORDER BY p / w DESC, o_custkey LIMIT 10""", "")
@@ -458,6 +421,17 @@ def stream_windows(spark, sf):
     return out.select("entity_id", F.unix_seconds("window_start").alias("window_start"), "n")
 
 
-@query()
+_ALIVE = """l AS (SELECT {g}, loser AS k, list(winner) AS ws FROM e GROUP BY ALL),
+ s AS (SELECT {og}, o.k, coalesce(l.ws, []) AS ws FROM o LEFT JOIN l ON {on} AND o.k = l.k),
+ r AS (SELECT {g}, k, [k] AS alive FROM s WHERE k = 1 UNION ALL SELECT {sg}, s.k, CASE WHEN len(list_intersect(s.ws, r.alive)) > 0 THEN r.alive ELSE list_append(r.alive, s.k) END FROM r JOIN s ON {rs} AND s.k = r.k + 1),
+ f AS (SELECT {g}, arg_max(len(alive), k) AS kept FROM r GROUP BY {g})""".format(g="entity_id, sample_index, class_id", og="o.entity_id, o.sample_index, o.class_id", sg="s.entity_id, s.sample_index, s.class_id", on="o.entity_id = l.entity_id AND o.sample_index = l.sample_index AND o.class_id = l.class_id", rs="s.entity_id = r.entity_id AND s.sample_index = r.sample_index AND s.class_id = r.class_id")
+
+
+@query(f""", RECURSIVE_ o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, sample_index, class_id ORDER BY score DESC, pos) AS k FROM det),
+ e AS (SELECT a.entity_id, a.sample_index, a.class_id, a.k AS loser, b.k AS winner FROM o a JOIN o b ON {_SAME} AND a.class_id = b.class_id AND a.k > b.k AND {_IOU} > 0.4),
+ {_ALIVE} SELECT entity_id, class_id, sum(kept)::BIGINT AS kept FROM f GROUP BY 1, 2""")
 def nms(spark, sf):
     return tensor.nms(detections(spark, sf), ["entity_id", "sample_index", "class_id"], 0.4).groupBy("entity_id", "class_id").agg(F.count("*").alias("kept"))
+
+
+from . import derived  # noqa: E402, F401

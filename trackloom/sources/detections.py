@@ -12,9 +12,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_json_cache(spark: SparkSession, path: str, schema: T.StructType = DETECTION) -> DataFrame:
-    """Gzip or plain JSON records, one schema for all; unreadable records become _corrupt_record."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreCorruptFiles", "true").json(path)
+def read_json_cache(spark: SparkSession, path: str, schema: T.StructType = DETECTION, arrays: bool = False) -> DataFrame:
+    """Gzip or plain JSON records, one schema for all (S1, S2, S4). arrays: each file is one list of records. What can't be read becomes _corrupt_record; files
+    that can't be opened are skipped. _file_hash: the sixteen hex digits in the file's name, null if there are none."""
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreCorruptFiles", "true")
+    found = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9a-f]{16})", 1)
+    return reader.option("multiLine", str(arrays).lower()).json(path).withColumn("_file_hash", F.nullif(found, F.lit("")))
+
+
+def readable(records: DataFrame) -> DataFrame:
+    """The records that could be read, without the column of those that couldn't."""
+    return records.where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def unreadable_counts(records: DataFrame) -> DataFrame:
+    """How many records of each file couldn't be read (S4): _file_hash, n."""
+    return records.where("_corrupt_record is not null").groupBy("_file_hash").agg(F.count("*").alias("n"))
+
+
+class CachedScans:
+    """Parsed tables kept by path until the path's files change (S3)."""
+
+    def __init__(self, spark: SparkSession, read):
+        self.spark, self.read, self.held = spark, read, {}
+
+    def version(self, path: str) -> tuple:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        out = []
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+        return tuple(sorted(out))
+
+    def get(self, path: str) -> DataFrame:
+        version = self.version(path)
+        known = self.held.get(path)
+        if known and known[0] == version:
+            return known[1]
+        self.forget(path)
+        self.held[path] = version, self.read(self.spark, path).cache()
+        return self.held[path][1]
+
+    def forget(self, path: str) -> None:
+        if path in self.held:
+            self.held.pop(path)[1].unpersist()
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:
@@ -22,17 +65,37 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_run_log(df: DataFrame, path: str, failed: str) -> None:
+    """Append run rows, those of failed runs to a log of their own."""
+    append_json_lines(df.where(f"not coalesce({failed}, false)"), f"{path}/runs")
+    append_json_lines(df.where(f"coalesce({failed}, false)"), f"{path}/failures")
+
+
 def write_detections(df: DataFrame, path: str, *partitions: str) -> None:
     """Parquet, committed as a whole, partitioned by what caches are looked up by."""
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
+def lookup(spark: SparkSession, path: str, **settings) -> DataFrame:
+    """The cached rows of these settings: a predicate on partition columns, so only their folders are read."""
+    out = spark.read.parquet(path)
+    for name, value in settings.items():
+        out = out.where(F.col(name) == value)
+    return out
+
+
 def tolerant_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Parsed rows and whether each was malformed."""
-    parsed = lines.select(F.from_json(column, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    """Parsed rows and whether each was malformed (S7); blank lines are left out."""
+    some = lines.where(F.trim(column) != "")
+    parsed = some.select(F.from_json(column, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.select("r.*").withColumn("malformed", F.col("_bad").isNotNull()).drop("_bad")
 
 
+def skipped(parsed: DataFrame) -> DataFrame:
+    """One row: good rows and skipped ones."""
+    return parsed.agg(F.count_if(~F.col("malformed")).alias("rows"), F.count_if("malformed").alias("skipped"))
+
+
 def sample_times(entities: DataFrame, offset: float = 0.0) -> DataFrame:
     """entities (entity_id, n, fps, native_fps): the sampling grid with frame indexes, floored but for the first, which rounds."""
     grid = entities.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
