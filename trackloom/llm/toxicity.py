@@ -192,17 +192,27 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
 
 
-def hinge_fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, cost: float = 3.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum."""
-    xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    weigh = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * cost
-    w = np.zeros(xb.shape[1]) if start is None else start
-    ridge = np.eye(xb.shape[1])
+def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 3.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum. Rows come in blocks, so little is copied."""
+    n1, n0 = sum(map(len, positive)), sum(map(len, negative))
+    size = (positive or negative)[0].shape[1] + 1
+    w = np.zeros(size) if start is None else start
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (xb @ w) < 1
-        xa = xb[active] * weigh[active][:, None]
-        new = np.linalg.solve(ridge + xa.T @ xb[active], xa.T @ y[active])
+        left, right = ridge.copy(), np.zeros(size)
+        for blocks, y, n in ((positive, 1.0, n1), (negative, -1.0, n0)):
+            weigh = 0.5 / max(1, n) * (n1 + n0) * cost
+            for block in blocks:
+                x = block[y * (block @ w[:-1] + w[-1]) < 1].astype(np.float64)
+                total = x.sum(axis=0)
+                left[:-1, :-1] += weigh * (x.T @ x)
+                left[:-1, -1] += weigh * total
+                left[-1, :-1] += weigh * total
+                left[-1, -1] += weigh * len(x)
+                right[:-1] += weigh * y * total
+                right[-1] += weigh * y * len(x)
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-5):
             break
         w = new
@@ -222,24 +232,38 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def grams(docs: list[list[list[str]]]) -> Counter:
-    """How many documents hold each short string within words."""
-    out = Counter()
-    for d in docs:
-        words = {w for s in d for w in s}
-        out.update({w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1)})
+def _grams(doc: list[list[str]], n: int) -> set[str]:
+    """The strings of n letters within a document's words."""
+    return {w[i : i + n] for w in {w for s in doc for w in s} for i in range(len(w) - n + 1)}
+
+
+def gram_counts(docs: dict[int, list], folds: int) -> dict[tuple[int, int], Counter]:
+    """How many documents of each label and fold hold each short string that is often enough in the toxic ones of a fold to matter; one length at a time, to save memory."""
+    least = max(2, len(docs[1]) // (40 * folds))
+    out = {(y, f): Counter() for y in docs for f in range(folds)}
+    for n in GRAMS:
+        toxic = [Counter() for _ in range(folds)]
+        for f, seen in enumerate(toxic):
+            for d in docs[1][f::folds]:
+                seen.update(_grams(d, n))
+        kept = {g for seen in toxic for g, k in seen.items() if k >= least}
+        for f, seen in enumerate(toxic):
+            out[1, f].update({g: k for g, k in seen.items() if g in kept})
+            for d in docs[0][f::folds]:
+                out[0, f].update(kept.intersection(_grams(d, n)))
+        del toxic
     return out
 
 
-def choose_landmarks(seen1: Counter, n1: int, seen0: Counter, n0: int, n: int, rng: np.random.Generator) -> list[str]:
-    """Three quarters: strings that clearly more of the toxic documents hold, unlike each other; the rest: any strings of clean ones. seen: documents by string."""
+def choose_landmarks(seen1: Counter, n1: int, seen0: Counter, n0: int, others: list[str], n: int, rng: np.random.Generator) -> list[str]:
+    """Three quarters: strings that clearly more of the toxic documents hold, unlike each other; the rest: any of `others`. seen: documents by string."""
     often = max(3, n1 // 40)
     worth = {}
     for g, k in seen1.items():
         if k >= often and (odds := np.log(k / n1) - np.log((seen0[g] + 0.5) / (n0 + 1))) > 1.0:
             worth[g] = odds * (k * len(g)) ** 0.5
     out = _spread(sorted(worth, key=lambda g: (-worth[g], g))[:600], n * 3 // 4)
-    pool = sorted(g for g in seen0 if len(g) == GRAMS[-1] and g not in set(out))
+    pool = [w for w in others if w not in set(out)]
     return out + [pool[k] for k in rng.choice(len(pool), min(len(pool), n - len(out)), replace=False)]
 
 
@@ -273,23 +297,26 @@ def fit_sentences(docs: dict[int, list], landmarks: list[str]) -> Model:
         return m
     x, at = m.every_feature(words), {w: i for i, w in enumerate(words)}
 
-    def rows(some: list) -> tuple[np.ndarray, np.ndarray]:
-        found = [(k, [at[w] for w in s]) for k, d in enumerate(some) for s in d if s]
-        sizes = np.array([len(i) for _, i in found], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
-        flat = x[[i for _, one in found for i in one]] if len(sizes) else np.zeros((0, x.shape[1]), np.float32)
-        return np.array([k for k, _ in found], np.int64), np.add.reduceat(flat, starts, axis=0) if len(sizes) else flat
+    def rows(some: list) -> list[np.ndarray]:
+        """Of each document that has sentences with words, these sentences' features."""
+        whole = []
+        for d in some:
+            sizes = [len(s) for s in d if s]
+            if sizes:
+                whole.append(np.add.reduceat(x[[at[w] for s in d for w in s]], np.cumsum([0, *sizes[:-1]]), axis=0))
+        return whole
 
-    (doc, a), (_, b) = rows(docs[1]), rows(docs[0])
-    if not len(a) or not len(b):
+    def blocks(docs: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.vstack(docs[k : k + 64]) for k in range(0, len(docs), 64)]
+
+    toxic, clean = rows(docs[1]), blocks(rows(docs[0]))
+    if not toxic or not clean:
         return m
-    used, w = np.ones(len(a), bool), None
+    used, w = toxic, None
     for _ in range(4):
-        w, m.bias = hinge_fit(np.vstack([a[used], b]), np.r_[np.ones(used.sum()), -np.ones(len(b))], w if w is None else np.r_[w, m.bias])
-        value = a @ w + m.bias
-        used = value > 0
-        order = np.lexsort((-value, doc))
-        used[order[np.flatnonzero(np.diff(doc[order], prepend=-1))]] = True  # each document's highest
+        w, m.bias = hinge_fit(blocks(used), clean, w if w is None else np.r_[w, m.bias])
+        # each document's sentences above zero, and its highest
+        used = [f[(v > 0) | (np.arange(len(v)) == v.argmax())] for f in toxic for v in (f @ w + m.bias,)]
     m.weights = w.astype(np.float32)
     return m
 
@@ -304,12 +331,14 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
         return [w for t in set(sentence) for w in (known[t] if t in known else known.setdefault(t, words_of(t)))]
 
     docs = {y: [[as_words(s) for s in sentences(t)] for t in bodies[y]] for y in bodies}
-    seen = {(y, f): grams(docs[y][f::folds]) for y in docs for f in range(folds)}
+    known.clear()
+    seen = gram_counts(docs, folds)
+    others = sorted({w[: GRAMS[-1]] for d in docs[0] for s in d for w in s if len(w) >= GRAMS[-1]})
 
     def machine(without: int | None) -> Model:
         part = {y: [d for i, d in enumerate(docs[y]) if i % folds != without] for y in docs}
         n = {y: sum((seen[y, f] for f in range(folds) if f != without), Counter()) for y in docs}
-        return fit_sentences(part, choose_landmarks(n[1], max(1, len(part[1])), n[0], len(part[0]), landmarks, np.random.default_rng(seed)))
+        return fit_sentences(part, choose_landmarks(n[1], max(1, len(part[1])), n[0], len(part[0]), others, landmarks, np.random.default_rng(seed)))
 
     m = machine(None)
     if m.weights is None:
@@ -320,7 +349,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
         one = m if one.weights is None else one
         for label in bodies:
             some = bodies[label][f::folds][:CALIBRATION]
-            x += one.summaries(some, Recent())
+            x += one.summaries(some, Recent(most=16 << 20))
             y += [float(label)] * len(some)
     m.calibration = tuple(map(float, logistic_fit(np.array(x), np.array(y))))
     return m
