@@ -82,7 +82,7 @@ def tree(convs: list[tuple[int, list[tuple[str, str]]]]) -> dict:
             if node is None:
                 marked, lo, hi = format_turn(role, body)
                 up = segments[parent] if parent >= 0 else None
-                attend = up["attend"] + [{"start": up["start"], "stop": up["stop"]}] if up else []
+                attend = joined(up["attend"], up) if up else []
                 node = nodes[parent, role, body] = len(segments)
                 position = up["position"] + up["stop"] - up["start"] if up else 0
                 segments.append({"start": at, "stop": at + len(marked), "parent": parent, "position": position, "loss_start": at + lo, "loss_stop": at + hi, "attend": attend})
@@ -93,6 +93,13 @@ def tree(convs: list[tuple[int, list[tuple[str, str]]]]) -> dict:
     return {"text": "".join(text), "segments": segments, "conversations": leaves}
 
 
+def joined(spans: list[dict], more: dict) -> list[dict]:
+    """Spans with one more at the end, joined to the last one where they touch: a path of first children is one span, at any depth."""
+    if spans and spans[-1]["stop"] == more["start"]:
+        return [*spans[:-1], {"start": spans[-1]["start"], "stop": more["stop"]}]
+    return [*spans, {"start": more["start"], "stop": more["stop"]}]
+
+
 def position_ids(segments: list[dict]) -> list[int]:
     """The position id of each unit of a pack."""
     return [s["position"] + k for s in segments for k in range(s["stop"] - s["start"])]
@@ -167,7 +174,10 @@ def read_back(packs: DataFrame) -> DataFrame:
             line.append(segments[node])
             node = segments[node]["parent"]
         line.reverse()
-        if line and [(a["start"], a["stop"]) for a in line[-1]["attend"]] != [(s["start"], s["stop"]) for s in line[:-1]]:
+        seen: list[dict] = []
+        for s in line[:-1]:
+            seen = joined(seen, s)
+        if line and line[-1]["attend"] != seen:
             raise AssertionError("the attention intervals aren't the ancestors")
         said = [read_turn(text[s["start"] : s["stop"]]) for s in line]
         loss = [unescape(text[s["loss_start"] : s["loss_stop"]]) for s in line if s["loss_stop"] > s["loss_start"]]
