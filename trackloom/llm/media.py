@@ -484,7 +484,7 @@ def tensor_of(rgb: np.ndarray, lay: Layout, f: int) -> np.ndarray:
 
 
 def features(rgb: np.ndarray, lay: Layout) -> list[str]:
-    """Of each picture: its size, mean colour, mean square of green, and a hash of which of its first 64 units are brighter than its mean."""
+    """Of each picture: its size, mean colour, mean square of green, and which of 64 runs of its units (all of them, as even as can be) are brighter than its mean."""
     sums = rgb.reshape(len(rgb), 256, 3).sum(axis=1, dtype=np.int64)
     square = np.einsum("np,np->n", *[rgb[..., 1].reshape(len(rgb), 256).astype(np.int64)] * 2)
     out = []
@@ -492,8 +492,10 @@ def features(rgb: np.ndarray, lay: Layout) -> list[str]:
         a, b = int(lay.first_unit[f]), int(lay.first_unit[f + 1])
         n = (b - a) * 256
         total = sums[a:b].sum(axis=0)
-        bright = sums[a : a + 64].sum(axis=1) * (b - a) > total.sum()
-        mark = np.packbits(np.pad(bright, (0, 64 - len(bright)))).tobytes().hex()
+        runs = min(64, b - a)
+        first = np.arange(runs + 1) * (b - a) // runs
+        bright = np.add.reduceat(sums[a:b].sum(axis=1), first[:-1]) * (b - a) > total.sum() * np.diff(first)
+        mark = np.packbits(np.pad(bright, (0, 64 - runs))).tobytes().hex()
         out.append(f"{16 * s.wide}x{16 * s.high};" + ",".join(f"{x / n:.4f}" for x in total.tolist()) + f";{int(square[a:b].sum()) / n:.4f};{mark}")
     return out
 
@@ -526,8 +528,8 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     return map_batches(df.select(*keep, text), run, ", ".join([*kept, "n_bytes long", "media binary"]))
 
 
-def load(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tensors: bool = False) -> DataFrame:
-    """keep columns and what the media hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with tensors also height, width and rgb."""
+def load(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tensors: bool = True) -> DataFrame:
+    """keep columns and what the media hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the tensor: height, width and rgb (its bytes, height x width x 3). tensors: whether the last three are wanted."""
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     more = ["height int", "width int", "rgb binary"] if tensors else []
     names = ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", *more]
