@@ -28,6 +28,7 @@ from .common import Recent, checkpointed, held, map_batches, ship, shuffles_remo
 
 GRAM = 16
 HOT = 50_000
+SALTS = 64
 BITMAP = 1 << 27
 SEGMENTS_IN_SHARD, SEGMENTS_AT_ONCE = 6000, 1500
 
@@ -246,7 +247,9 @@ def hot_spans(segments: DataFrame, window: int) -> DataFrame:
     each = checkpointed(map_batches(distinct.select("s1", "s2", "seg", "n"), windows, "s1 long, s2 long, i int, w1 long, w2 long, n long"))
     again = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
     starts = each.join(again, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list("i").alias("starts"))
-    found = named.select("_id", "_h", "at", "s1", "s2").join(starts, ["s1", "s2"])
+    # one segment may stand at most places: its starts are dealt to SALTS parts
+    salted = starts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = named.select("_id", "_h", "at", "s1", "s2", F.pmod(F.xxhash64("_id", "at"), F.lit(SALTS)).cast("int").alias("part")).join(salted, ["s1", "s2", "part"])
     return found.select("_id", "_h", F.explode(F.transform("starts", lambda i: F.struct((F.col("at") + i).alias("lo"), (F.col("at") + i + window).alias("hi")))).alias("s")).select("_id", "_h", "s.lo", "s.hi")
 
 
