@@ -63,12 +63,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what several branches read: it is computed once and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/trackloom-table-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
         df.select("*").write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    for paths in _MADE:
+        paths.append(path)
+    out = df.sparkSession.read.parquet(path)
+    out._trackloom_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing will read it again."""
+    delete(df.sparkSession, df._trackloom_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes in this block are deleted at its end; what is kept must be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            delete(spark, path)
 
 
 def entry_bytes(key, value) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import checkpointed, map_batches, ship, shuffles_removed, texts, written
+from .common import checkpointed, map_batches, remove, ship, shuffles_removed, texts, written
 from .components import connected_components
 from .substring import bitmap, gram_hashes, hit, word_hashes
 
@@ -276,7 +276,9 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
         kept = checkpointed(map_batches(with_both(checkpointed(pairs), rings, "ring"), can_be, "a long, b long, ok boolean").where("ok").select("a", "b"))
         wanted = spark.sparkContext.broadcast(bitmap(kept.select(F.explode(F.array("a", "b")).alias("h")), "h"))
         sets = written(flat(sets_of, "h long, set binary", wanted).dropDuplicates(["h"]))
-        return checkpointed(map_batches(with_both(kept, sets, "set"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        true = checkpointed(map_batches(with_both(kept, sets, "set"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        remove(sets)
+        return true
 
     # what a pair must still be able to share, at the first shingle that both have
     least = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
@@ -298,6 +300,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
             near = x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & fits)
             pairs = near.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
         links = true_ones(pairs)
+        remove(x)
         found = links if found is None else found.unionByName(links)
         groups = checkpointed(connected_components(found))
     keys = rows.groupBy("h", "g", "id").agg(F.count("*").alias("n"))
