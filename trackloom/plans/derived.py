@@ -386,11 +386,11 @@ def resume_points(spark, sf):
     return catalog.resume_points(samples, saved).groupBy("entity_id").agg(F.count("*").alias("left_over"))
 
 
-@query("""SELECT c.c_custkey AS k, coalesce((SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F'), (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'O')) AS v FROM customer c""", "")
+@query("""SELECT c.c_custkey AS k, coalesce((SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F'), (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'O'), -1) AS v FROM customer c""", "")
 def with_fallback(spark, sf):
     o = table(spark, sf, "orders")
     part = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
-    return catalog.with_fallback(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), part("F"), part("O"), "k", "v")
+    return catalog.with_fallback(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), part("F"), part("O"), "k", "v").fillna(-1, ["v"])
 
 
 @query("""WITH c AS (SELECT c_custkey, round(c_acctbal, 0) AS d FROM customer), s AS (SELECT c_custkey, unnest(CASE WHEN d > 20 THEN list_distinct([round_even((d - 20) * 1 / 4.0::DOUBLE, 1), round_even((d - 20) * 2 / 4.0::DOUBLE, 1), round_even((d - 20) * 3 / 4.0::DOUBLE, 1)]) ELSE [0.0::DOUBLE] END) AS s FROM c) SELECT c_custkey, count(*) AS slices, round(sum(s), 1) AS at FROM s GROUP BY 1""", "")
@@ -505,7 +505,7 @@ def stream_sliding(spark, sf):
 
 
 @query("""WITH g AS (SELECT user_id AS entity_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY entity_id ORDER BY ts) AS k FROM g)
- SELECT entity_id, epoch(min(ts))::BIGINT AS session_start, count(*) AS n FROM s GROUP BY entity_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", "")
+ SELECT entity_id, floor(epoch(min(ts)))::BIGINT AS session_start, count(*) AS n FROM s GROUP BY entity_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", "")
 def stream_sessions(spark, sf):
     out = live.available_now(live.sessions(live.event_stream(spark, sf), ["entity_id"], "at", "6 hours", "1 hour"))
     return out.select("entity_id", F.unix_seconds("session_start").alias("session_start"), "n")
