@@ -23,6 +23,24 @@ def iou(a: str, b: str) -> Column:
     return F.when(shared > 0, shared / (area(a) + area(b) - shared)).otherwise(F.lit(0.0))
 
 
+def shared_of(a: Column, b: Column) -> Column:
+    """intersection() of two structs."""
+    wide = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
+    high = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
+    return F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))
+
+
+def iou_of(a: Column, b: Column) -> Column:
+    """iou() of two structs."""
+    shared = shared_of(a, b)
+    return F.when(shared > 0, shared / (a["w"] * a["h"] + b["w"] * b["h"] - shared)).otherwise(F.lit(0.0))
+
+
+def share_of(a: Column, b: Column) -> Column:
+    """covered_share() of two structs."""
+    return F.when(a["w"] * a["h"] > 0, shared_of(a, b) / (a["w"] * a["h"])).otherwise(F.lit(0.0))
+
+
 def covered_share(a: str, b: str) -> Column:
     """Share of box a that b covers."""
     return F.when(area(a) > 0, intersection(a, b) / area(a)).otherwise(F.lit(0.0))

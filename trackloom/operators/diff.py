@@ -17,18 +17,24 @@ def uncovered(det: DataFrame, boxes: DataFrame, bucket: float = BUCKET) -> DataF
     return range_join(det, boxes, ["entity_id", "class_id"], "t", "start", "stop", bucket, "left_anti", inside)
 
 
-def covered_flags(a: DataFrame, b: DataFrame, min_iou: float = 0.3, bucket: float = BUCKET) -> DataFrame:
-    """a with covered: whether some row of b of the same entity and label overlaps it in time (ends included) and by IoU (J9). Rows need id, start, stop and a box."""
+def overlaps(a: DataFrame, b: DataFrame, min_iou: float = 0.3, bucket: float = BUCKET) -> DataFrame:
+    """Pairs (a_id, b_id), some more than once, of the same entity and label that overlap in time (ends included) and by IoU (J9). Rows need id, start, stop and a box."""
     cut = lambda d, p: d.select("entity_id", "class_id", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))).alias("k"), *[F.col(c).alias(f"{p}{c}") for c in ("id", "start", "stop", "x", "y", "w", "h")])
-    hits = cut(a, "a_").join(cut(b, "b_"), ["entity_id", "class_id", "k"]).where((F.col("a_start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("a_stop")) & (iou("a_", "b_") >= min_iou))
-    return a.join(hits.select(F.col("a_id").alias("id")).distinct().withColumn("_c", F.lit(True)), "id", "left").withColumn("covered", F.coalesce("_c", F.lit(False))).drop("_c")
+    return cut(a, "a_").join(cut(b, "b_"), ["entity_id", "class_id", "k"]).where((F.col("a_start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("a_stop")) & (iou("a_", "b_") >= min_iou)).select("a_id", "b_id")
+
+
+def covered_flags(a: DataFrame, b: DataFrame, min_iou: float = 0.3, bucket: float = BUCKET) -> DataFrame:
+    """a with covered: whether some row of b overlaps it."""
+    hits = overlaps(a, b, min_iou, bucket).select(F.col("a_id").alias("id")).distinct().withColumn("_c", F.lit(True))
+    return a.join(hits, "id", "left").withColumn("covered", F.coalesce("_c", F.lit(False))).drop("_c")
 
 
 def ab_diff(current: DataFrame, proposed: DataFrame, min_iou: float = 0.3) -> DataFrame:
-    """Per entity: rows of both, of the current run only, of the proposed run only."""
-    a = covered_flags(current, proposed, min_iou).groupBy("entity_id").agg(F.count_if("covered").alias("in_both"), F.count_if(~F.col("covered")).alias("current_only"))
-    b = covered_flags(proposed, current, min_iou).groupBy("entity_id").agg(F.count_if(~F.col("covered")).alias("proposed_only"))
-    return a.join(b, "entity_id", "full").fillna(0)
+    """Per entity: rows of both, of the current run only, of the proposed run only (J10). The overlaps are found once, for both sides."""
+    hits = overlaps(current, proposed, min_iou).select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("b_id").alias("id")))).alias("s")).select("s.*").distinct().withColumn("_c", F.lit(True))
+    rows = current.select("entity_id", "id", F.lit(0).alias("side")).unionByName(proposed.select("entity_id", "id", F.lit(1).alias("side")))
+    n = lambda side, found: F.count_if((F.col("side") == side) & (F.col("_c").isNotNull() if found else F.col("_c").isNull()))
+    return rows.join(hits, ["side", "id"], "left").groupBy("entity_id").agg(n(0, True).alias("in_both"), n(0, False).alias("current_only"), n(1, False).alias("proposed_only"))
 
 
 def coverage_change(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Same-instant stages over detections: de-duplication, promotion, geometry, relevance, suppression, entry gate.
 
-All pair rows of one entity and instant only; the key is (entity_id, sample_index). Groups are a handful of rows, so
-self-joins are equi-joins with a small residue.
+All pair rows of one entity and instant only; the key is (entity_id, sample_index). Groups are a handful of rows, so each is
+gathered to an array, once, and rows are judged against the others of their array: one shuffle, no self-join and no join back.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.boxes import covered_share, iou
+from ..functions.boxes import iou, iou_of, share_of
 
 INSTANT = ["entity_id", "sample_index"]
 BOX = ["x", "y", "w", "h"]
@@ -22,27 +22,41 @@ def rules_frame(spark: SparkSession, rules: list[tuple], schema: str) -> DataFra
     return F.broadcast(spark.createDataFrame(rules, schema))
 
 
-def prefixed(df: DataFrame, p: str, *cols: str) -> DataFrame:
-    return df.select(*INSTANT, *[F.col(c).alias(f"{p}{c}") for c in (*BOX, "class_id", "score", "size", "pos", *cols)])
+def gathered(df: DataFrame, keys: list[str] = INSTANT, order: list | None = None) -> DataFrame:
+    """keys, all (the group's rows as structs; in order of `order`, which comes first in the structs, if given)."""
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    rows = F.collect_list(F.struct(*(order or []), *rest))
+    return df.groupBy(*keys).agg((F.sort_array(rows) if order else rows).alias("all"))
+
+
+def judged(df: DataFrame, **found) -> DataFrame:
+    """df with columns found: functions of a row and the array of its instant's rows."""
+    one = gathered(df).select(*INSTANT, F.explode("all").alias("r"), "all")
+    return one.select(*[F.col(c) if c in INSTANT else F.col(f"r.`{c}`") for c in df.columns], *[f(F.col("r"), F.col("all")).alias(n) for n, f in found.items()])
 
 
 def same_instant_pairs(df: DataFrame) -> DataFrame:
     """Ordered pairs (a_*, b_*) of different rows of an instant with their IoU."""
-    return prefixed(df, "a_").join(prefixed(df, "b_"), INSTANT).where("a_pos <> b_pos").withColumn("iou", iou("a_", "b_"))
+    cols = [*BOX, "class_id", "score", "size", "pos"]
+    g = gathered(df.select(*INSTANT, *cols))
+    pairs = g.select(*INSTANT, F.explode("all").alias("a"), "all").select(*INSTANT, "a", F.explode("all").alias("b")).where("a.pos <> b.pos")
+    return pairs.select(*INSTANT, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in cols]).withColumn("iou", iou("a_", "b_"))
 
 
 def suppressed(df: DataFrame, rules: list[tuple[str, str, float, float]], with_iou: bool = False) -> DataFrame:
     """Rows with suppressor pos and rule (null if kept). rules: (loser, winner, least IoU, least margin). A suppressed row still suppresses others.
 
     with_iou: also the suppressor's label and IoU."""
-    r = rules_frame(df.sparkSession, [(k, *x) for k, x in enumerate(rules)], "rule int, a_class_id string, b_class_id string, min_iou double, margin double")
-    winners = prefixed(df.where(F.col("class_id").isin(*sorted({x[1] for x in rules}))), "b_")
-    losers = prefixed(df.where(F.col("class_id").isin(*sorted({x[0] for x in rules}))), "a_").join(r, "a_class_id")
-    hits = losers.join(winners, [*INSTANT, "b_class_id"]).withColumn("iou", iou("a_", "b_"))
-    hits = hits.where((F.col("a_pos") != F.col("b_pos")) & (F.col("iou") >= F.col("min_iou")) & (F.col("b_score") - F.col("a_score") >= F.col("margin")))
-    first = hits.groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(F.min(F.struct("b_pos", "rule", F.col("b_class_id").alias("label"), "iou")).alias("by"))
-    out = df.join(first, [*INSTANT, "pos"], "left").withColumns({"by_pos": F.col("by.b_pos"), "rule": F.col("by.rule")})
-    return (out.withColumns({"by_label": F.col("by.label"), "by_iou": F.col("by.iou")}) if with_iou else out).drop("by")
+
+    def hits(r, rows, k, loser, winner, least, margin):
+        found = F.filter(rows, lambda o: (r["class_id"] == loser) & (o["class_id"] == winner) & (o["pos"] != r["pos"]) & (o["score"] - r["score"] >= margin) & (iou_of(r, o) >= least))
+        return F.transform(found, lambda o: F.struct(o["pos"].alias("pos"), F.lit(k).alias("rule"), o["class_id"].alias("label"), iou_of(r, o).alias("iou")))
+
+    def by(r, rows):
+        return F.array_min(F.concat(*[hits(r, rows, k, *rule) for k, rule in enumerate(rules)]))
+
+    out = judged(df, _by=by).withColumns({"by_pos": F.col("_by.pos"), "rule": F.col("_by.rule")})
+    return (out.withColumns({"by_label": F.col("_by.label"), "by_iou": F.col("_by.iou")}) if with_iou else out).drop("_by")
 
 
 @dataclass(frozen=True)
@@ -74,43 +88,38 @@ def promoted(df: DataFrame, rules: list[Promotion]) -> DataFrame:
     A rule that finds its target already there ends the search, one without evidence leaves it to the next; the outcome is that of the
     last rule looked at, null if no rule judged the row. rule_outcomes has the outcome of every rule looked at.
     """
-    labels = sorted({r.source for r in rules})
-    others = sorted({r.target for r in rules} | {e.label for r in rules for e in r.requires})
-    a = prefixed(df, "a_").where(F.col("a_class_id").isin(*labels))
-    b = prefixed(df, "b_").where(F.col("b_class_id").isin(*others))
-    pairs = a.join(b, INSTANT, "left").withColumn("other", F.coalesce(F.col("b_pos") != F.col("a_pos"), F.lit(False)))
-
-    def there(e: Evidence):
-        share = covered_share("a_", "b_")
-        ok = (F.col("b_class_id") == e.label) & (F.col("b_score") >= e.min_prob)
-        if e.anywhere:
-            return ok
-        if e.min_iou is None and e.min_source_overlap is None:
-            return ok & (share > 0)
-        if e.min_iou is not None:
-            ok = ok & (iou("a_", "b_") >= e.min_iou)
-        return ok if e.min_source_overlap is None else ok & (share >= e.min_source_overlap)
-
-    flags = {}
-    for k, r in enumerate(rules):
-        flags[f"t{k}"] = (F.col("b_class_id") == r.target) & (iou("a_", "b_") >= r.duplicate_iou)
-        for j, e in enumerate(r.requires):
-            flags[f"e{k}_{j}"] = there(e)
-    seen = pairs.groupBy(*INSTANT, F.col("a_pos").alias("pos")).agg(*[F.coalesce(F.max(F.col("other") & c), F.lit(False)).alias(n) for n, c in flags.items()], F.lit(True).alias("judged"))
-    out = df.join(seen, [*INSTANT, "pos"], "left")
-    each = []
-    for k, r in enumerate(rules):
-        found = [F.col(f"e{k}_{j}") for j in range(len(r.requires))]
-        enough = F.lit(True) if not found else reduce(lambda x, y: x & y if r.need_all else x | y, found)
-        looked = F.col("judged") & (F.col("class_id") == r.source) & (F.col("score") >= r.min_prob)
-        each.append(F.when(looked, F.struct(F.when(F.col(f"t{k}"), "already_covered").when(enough, "promoted").otherwise("no_evidence").alias("outcome"), F.lit(k).alias("rule"), F.lit(r.target).alias("target"))))
-    some = F.filter(F.array(*each), lambda x: x.isNotNull())
+    def there(r, e: Evidence):
+        def ok(o):
+            here = (o["class_id"] == e.label) & (o["score"] >= e.min_prob) & (o["pos"] != r["pos"])
+            if e.anywhere:
+                return here
+            if e.min_iou is None and e.min_source_overlap is None:
+                return here & (share_of(r, o) > 0)
+            if e.min_iou is not None:
+                here = here & (iou_of(r, o) >= e.min_iou)
+            return here if e.min_source_overlap is None else here & (share_of(r, o) >= e.min_source_overlap)
+
+        return ok
+
+    def outcome(r, rows, k: int, p: Promotion):
+        found = [F.exists(rows, there(r, e)) for e in p.requires]
+        enough = F.lit(True) if not found else reduce(lambda x, y: x & y if p.need_all else x | y, found)
+        taken = F.exists(rows, lambda o: (o["class_id"] == p.target) & (o["pos"] != r["pos"]) & (iou_of(r, o) >= p.duplicate_iou))
+        looked = (r["class_id"] == p.source) & (r["score"] >= p.min_prob)
+        return F.when(looked, F.struct(F.when(taken, "already_covered").when(enough, "promoted").otherwise("no_evidence").alias("outcome"), F.lit(k).alias("rule"), F.lit(p.target).alias("target")))
+
+    def outcomes(r, rows):
+        return F.array(*[outcome(r, rows, k, p) for k, p in enumerate(rules)])
+
+    out = judged(df, _each=outcomes)
+    each = F.col("_each")
+    some = F.filter(each, lambda x: x.isNotNull())
     # what is looked at ends with the first rule that decides
     upto = F.coalesce(F.nullif(F.array_position(F.transform(some, lambda x: x["outcome"] != "no_evidence"), True), F.lit(0)), F.size(some).cast("long")).cast("int")
     looked = F.when(F.size(some) > 0, F.slice(some, 1, upto))
     out = out.withColumn("rule_outcomes", looked).withColumn("_last", F.element_at("rule_outcomes", -1))
     out = out.withColumns({"outcome": F.col("_last.outcome"), "rule": F.col("_last.rule")}).withColumn("label", F.when(F.col("outcome") == "promoted", F.col("_last.target")).otherwise(F.col("class_id")))
-    return out.drop("_last", "judged", *flags)
+    return out.drop("_last", "_each")
 
 
 def stage_counts(spark: SparkSession, stages: dict[str, DataFrame]) -> DataFrame:
@@ -118,18 +127,20 @@ def stage_counts(spark: SparkSession, stages: dict[str, DataFrame]) -> DataFrame
     return reduce(DataFrame.unionByName, [d.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(name)) for name, d in stages.items()])
 
 
-def cross_size_dedup(df: DataFrame, min_iou: float = 0.6) -> DataFrame:
-    """Greedy by score: a row falls to a kept row of the same label and instant and another size (J4). Nothing falls where an entity has one size.
+#: Overlap of a kept row k and a row r, of structs.
+_SHARED = "(greatest(least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x), 0D) * greatest(least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y), 0D))"
 
-    A fold over each group's sorted array keeps it inside the JVM; groups are an instant's rows.
-    """
-    row = F.struct((-F.col("score")).alias("s"), "pos", *BOX, "size")
-    groups = df.groupBy(*INSTANT, "class_id").agg(F.sort_array(F.collect_list(row)).alias("all"))
-    one = lambda a, b: f"(greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0))"
-    hit = f"k.size <> r.size and {one('k', 'r')} > 0 and {one('k', 'r')} >= {min_iou} * (k.w * k.h + r.w * r.h - {one('k', 'r')})"
-    kept = F.expr(f"aggregate(all, slice(all, 1, 0), (acc, r) -> if(exists(acc, k -> {hit}), acc, concat(acc, array(r))))")
-    alive = groups.select(*INSTANT, F.explode(kept).alias("k")).select(*INSTANT, F.col("k.pos").alias("pos"))
-    return df.join(alive, [*INSTANT, "pos"], "left_semi")
+
+def greedy(df: DataFrame, keys: list[str], falls: str) -> DataFrame:
+    """The rows of each group that no row kept before them, by falling score and then pos, makes fall: a condition on structs k (kept) and r. A fold inside the JVM over a group's rows."""
+    groups = gathered(df, keys, [(-F.col("score")).alias("_s"), F.col("pos").alias("_p")])
+    kept = F.expr(f"aggregate(all, slice(all, 1, 0), (acc, r) -> if(exists(acc, k -> {falls}), acc, concat(acc, array(r))))")
+    return groups.select(*keys, F.explode(kept).alias("k")).select(*[F.col(c) if c in keys else F.col(f"k.`{c}`") for c in df.columns])
+
+
+def cross_size_dedup(df: DataFrame, min_iou: float = 0.6) -> DataFrame:
+    """Greedy by score: a row falls to a kept row of the same label and instant and another size (J4). Nothing falls where an entity has one size."""
+    return greedy(df, [*INSTANT, "class_id"], f"k.size <> r.size and {_SHARED} > 0 and {_SHARED} >= {min_iou} * (k.w * k.h + r.w * r.h - {_SHARED})")
 
 
 def cross_size_pairs(df: DataFrame) -> DataFrame:

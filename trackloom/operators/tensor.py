@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .stages import _SHARED, greedy
+
 
 def decode_anchors(df: DataFrame, classes: int, floor: float, scale: float, wide: float, high: float) -> DataFrame:
     """df (image, tensor: array of 4 + classes rows of anchors, centre form) -> one row per anchor over the floor, as corner boxes clipped to the picture."""
@@ -27,13 +29,8 @@ def decode_anchors(df: DataFrame, classes: int, floor: float, scale: float, wide
 
 
 def nms(df: DataFrame, keys: list[str], max_iou: float) -> DataFrame:
-    """Greedy: a row falls to a kept row of its group with a higher score (ties: smaller pos) and IoU over max_iou (X2). Folded inside the JVM."""
-    row = F.struct((-F.col("score")).alias("s"), "pos", "x", "y", "w", "h")
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("all"))
-    shared = "(greatest(least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x), 0) * greatest(least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y), 0))"
-    kept = F.expr(f"aggregate(all, slice(all, 1, 0), (acc, r) -> if(exists(acc, k -> {shared} > {max_iou} * (k.w * k.h + r.w * r.h - {shared})), acc, concat(acc, array(r))))")
-    alive = groups.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.pos").alias("pos"))
-    return df.join(alive, [*keys, "pos"], "left_semi")
+    """Greedy: a row falls to a kept row of its group with a higher score (ties: smaller pos) and IoU over max_iou."""
+    return greedy(df, keys, f"{_SHARED} > {max_iou} * (k.w * k.h + r.w * r.h - {_SHARED})")
 
 
 def normalised(hist: Column) -> Column:
