@@ -147,7 +147,8 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
+    found = np.sort(gram_hashes(word_hashes(words), min(size, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ another document, so its windows recur; a null doc_id is a value like any other.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Recent, checkpointed, held, map_batches, ship, shuffles_removed, written
+from .common import checkpointed, map_batches, ship, shuffles_removed, written
 
 GRAM = 16
 HOT = 50_000
@@ -51,9 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the worker remembers those it has met."""
-    known = held("word hashes", lambda: Recent(lambda w: xxhash.xxh64_intdigest(w, 11)))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(11)), np.uint64, len(words))
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
