@@ -7,7 +7,8 @@ precision.
 
 Codebooks are fitted on SAMPLE distinct vectors at most, the first by hash; every row is indexed. Equal vectors are one
 entry with their K + 1 smallest ids (a query leaves itself out, so no more can be among its K nearest). Queries go in blocks
-of QUERY_BLOCK, each a bounded broadcast, past the whole index; a task keeps the best of what it has read.
+of QUERY_BLOCK, one after another, each a bounded broadcast, past the whole index; a task keeps the best of what it has read. Of several
+vectors with one id the least is the query.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length isn't the commonest
 one. Ties go to the smaller id; repeated rows of an id count once; an empty table gives an empty result.
@@ -16,12 +17,13 @@ one. Ties go to the smaller id; repeated rows of an id count once; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import checkpointed, map_batches, ship
+from .common import checkpointed, map_batches, ship, written
 
 SAMPLE, QUERY_BLOCK, RERANK, K = 16_384, 32_768, 256, 20
 THRESHOLD = 0.2  # inner products below this share of the norms don't matter
@@ -133,8 +135,14 @@ def search(df: DataFrame, every: int = 20, k: int = K, vector: str = "embedding"
     ship(spark)
     rows = usable(df, vector, key)
     index, books = build_index(rows, k)
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))  # of several vectors with one id the least
     schema = "query_id long, vec_id long, score double"
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        # k + 1 distinct vectors hold the k nearest: at most one of them is the query's own and nobody else's
+        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+
     parts = []
     if books is not None:
         blocks = max(1, -(-queries.count() // (QUERY_BLOCK * 3 // 4)))
@@ -144,15 +152,13 @@ def search(df: DataFrame, every: int = 20, k: int = K, vector: str = "embedding"
             q = np.array([r["v"] for r in got]) if got else np.zeros((0, 2 * len(books)))
             if q.shape[1] % 2:
                 q = np.hstack([q, np.zeros((len(q), 1))])
-            parts.append(index.mapInArrow(scan(spark.sparkContext.broadcast((ids, q, books)), k, rerank), schema + ", ids array<long>"))
+            # one block at a time: its queries are on the driver and in the workers only until its table is written
+            body = spark.sparkContext.broadcast((ids, q, books))
+            parts.append(written(nearest(index.mapInArrow(scan(body, k, rerank), schema + ", ids array<long>"))))
+            body.unpersist()
     else:
         parts.append(spark.createDataFrame([], schema + ", ids array<long>"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # k + 1 distinct vectors hold the k nearest: at most one of them is the query's own and nobody else's
-    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    near = reduce(DataFrame.unionByName, parts)
     each = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
