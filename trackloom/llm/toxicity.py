@@ -175,20 +175,20 @@ class Model:
         return [sum(value[w] for w in p) for p in parts]
 
     def summaries(self, bodies: list[str], known: Recent) -> list[tuple[float, ...]]:
-        """Of each text the highest sentence value, the mean of the three highest, the sum of those above zero and the number of sentences (logarithms)."""
+        """Of each text the highest sentence value, the mean of the three highest, and (as logarithms) how many are above one, the sum of those above zero and the number of sentences."""
         docs = [sentences(t) for t in bodies]
         value = known.of({t for d in docs for s in d for t in s}, self.values)
         out = []
         for d in docs:
             v = sorted([sum(map(value.__getitem__, set(s))) + self.bias for s in d], reverse=True) or [-1.0]
-            out.append((v[0], sum(v[:3]) / len(v[:3]), float(np.log1p(sum(x for x in v if x > 0))), float(np.log1p(len(d)))))
+            out.append((v[0], sum(v[:3]) / len(v[:3]), float(np.log1p(sum(x > 1 for x in v))), float(np.log1p(sum(x for x in v if x > 0))), float(np.log1p(len(d)))))
         return out
 
     def scores(self, bodies: list[str], known: Recent | None = None) -> list[float]:
         if self.weights is None:
             return [0.0] * len(bodies)
         known = Recent() if known is None else known
-        x = np.array(self.summaries(bodies, known)).reshape(-1, 4)
+        x = np.array(self.summaries(bodies, known)).reshape(-1, 5)
         return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
 
 
@@ -239,7 +239,7 @@ def _grams(doc: list[list[str]], n: int) -> set[str]:
 
 def gram_counts(docs: dict[int, list], folds: int) -> dict[tuple[int, int], Counter]:
     """How many documents of each label and fold hold each short string that is often enough in the toxic ones of a fold to matter; one length at a time, to save memory."""
-    least = max(2, len(docs[1]) // (40 * folds))
+    least = max(2, len(docs[1]) // (30 * folds))
     out = {(y, f): Counter() for y in docs for f in range(folds)}
     for n in GRAMS:
         toxic = [Counter() for _ in range(folds)]
@@ -257,7 +257,7 @@ def gram_counts(docs: dict[int, list], folds: int) -> dict[tuple[int, int], Coun
 
 def choose_landmarks(seen1: Counter, n1: int, seen0: Counter, n0: int, others: list[str], n: int, rng: np.random.Generator) -> list[str]:
     """Three quarters: strings that clearly more of the toxic documents hold, unlike each other; the rest: any of `others`. seen: documents by string."""
-    often = max(3, n1 // 40)
+    often = max(3, n1 // 30)
     worth = {}
     for g, k in seen1.items():
         if k >= often and (odds := np.log(k / n1) - np.log((seen0[g] + 0.5) / (n0 + 1))) > 1.0:
