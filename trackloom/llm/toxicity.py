@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Recent, held, map_batches, texts
 
-LENGTH, DECAY, POWER = 3, 0.6, 2
+LENGTH, DECAY, POWER = 3, 0.6, 4
 #: Documents of each label that are learnt from and the characters these may have; documents of each label and fold that calibrate; landmarks.
 SAMPLE, MOST_CHARS, CALIBRATION, LANDMARKS, FOLDS = 1200, 60_000, 250, 64, 2
 #: Letters of a word that are compared at once, the step to the next such window, words of a sentence at most, letters of a landmark.
@@ -192,7 +192,7 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
 
 
-def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 3.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum. Rows come in blocks, so little is copied."""
     n1, n0 = sum(map(len, positive)), sum(map(len, negative))
     size = (positive or negative)[0].shape[1] + 1
