@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Removes the shuffle files of a query when it ends; the plan alone knows them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -22,6 +23,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, as a zip that Spark itself distributes."""
     sc = spark.sparkContext
+    # texts can be long: batches to Python are kept small, unless the session says how large they are
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     if getattr(sc, "_trackloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -99,29 +103,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def entry_bytes(key, value) -> int:
-    """About what an entry of a dictionary takes, its slot included."""
-    return 120 + sys.getsizeof(key) + (sum(map(sys.getsizeof, value)) + 60 if isinstance(value, tuple) else sys.getsizeof(value))
-
-
 class Recent(dict):
-    """A dictionary of at most `most` bytes, by entry_bytes: when its younger half is full it takes the place of the older one, which is forgotten.
+    """A dictionary of at most about `most` bytes, at `each` bytes an entry: when its younger half is full it takes the place of the older one, which is forgotten.
 
-    Keys of more than 256 letters aren't remembered.
+    Keys of more than 64 letters aren't remembered.
     """
 
-    def __init__(self, make: Callable | None = None, most: int = 48 << 20):
+    def __init__(self, make: Callable | None = None, most: int = 48 << 20, each: int = 200):
         super().__init__()
-        self.make, self.most, self.older, self.bytes = make, most, {}, 0
+        self.make, self.room, self.older = make, most // each // 2, {}
 
     def put(self, key, value) -> None:
-        if len(key) > 256:
+        if len(key) > 64:
             return
-        self.bytes += entry_bytes(key, value)
-        if 2 * self.bytes > self.most:
+        if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
-            self.bytes = entry_bytes(key, value)
         self[key] = value
 
     def __missing__(self, key):
@@ -178,12 +175,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
             for part in pieces(b):
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()  # a worker outlives its tasks
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give back what the allocators hold free; a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split a batch so that each part holds about `most` bytes, or one row."""
     n = batch.num_rows
     if not n:

@@ -19,7 +19,6 @@ import heapq
 import math
 import os
 import re
-from array import array
 from itertools import chain
 
 import ahocorasick
@@ -37,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 class Model:
     """What the encoder needs of a model file: pieces and scores, the automaton, and tables of decided pairs and known words."""
 
-    def __init__(self, path: str, words: int = 40 << 20, pairs: int = 200_000):
+    def __init__(self, path: str, words: int = 96 << 20, pairs: int = 200_000):
         """words: bytes of remembered words; pairs: how many decided pairs are remembered."""
         import sentencepiece
 
@@ -63,7 +62,8 @@ class Model:
         self.auto.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.words = Recent(self.ids_and_text, words)
+        self.words = Recent(self.word, words, 300)
+        self.decimal = list(map(str, range(len(self.piece))))
         self.most_pairs = pairs
         cut = re.escape("".join(c for c in "\n\t\r" if c not in self.chars))
         #: Words with the spaces before them; characters that have no piece stand alone.
@@ -173,10 +173,6 @@ class Model:
         s = w.replace(" ", MARK)
         return tuple(self.known_runs(s, self.merge if s.startswith(MARK * 2) else self.table))
 
-    def ids_and_text(self, w: str) -> tuple[array, str]:
-        ids = array("i", self.word(w))
-        return ids, ",".join(map(str, ids))
-
     def known_runs(self, s: str, encode) -> list[int]:
         if self.chars.issuperset(s):
             return encode(s)
@@ -195,12 +191,12 @@ class Model:
         return self.split(" " + text.replace(MARK, " ")) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in map(self.words.__getitem__, self.parts(text))]))
+        return list(chain.from_iterable(map(self.words.__getitem__, self.parts(text))))
 
     def encode_both(self, text: str) -> tuple[list[int], str]:
         """ids, and the same as decimal numbers joined by commas."""
-        found = list(map(self.words.__getitem__, self.parts(text)))
-        return list(chain.from_iterable([ids for ids, _ in found])), ",".join([s for _, s in found])
+        ids = self.encode(text)
+        return ids, ",".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)

@@ -227,7 +227,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
         return {"s": pa.array(np.concatenate(found).view(np.int64)), "h": pa.array(np.repeat(h, [x.size for x in found]))}
 
     met = flat(by_order, "s long, h long").groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("s")
-    shared = spark.sparkContext.broadcast(bitmap(met, "s"))
+    shared = spark.sparkContext.broadcast(bitmap(met, "s", 1 << 25))
 
     def cards(h: np.ndarray, bodies: list[str]) -> dict:
         """Of texts that share a prefix shingle: its size, segment counts, and those shingles with their places."""
@@ -275,10 +275,11 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
 
     def true_ones(pairs: DataFrame) -> DataFrame:
         kept = checkpointed(map_batches(with_both(checkpointed(pairs), rings, "ring"), can_be, "a long, b long, ok boolean").where("ok").select("a", "b"))
-        wanted = spark.sparkContext.broadcast(bitmap(kept.select(F.explode(F.array("a", "b")).alias("h")), "h"))
+        wanted = spark.sparkContext.broadcast(bitmap(kept.select(F.explode(F.array("a", "b")).alias("h")), "h", 1 << 24))
         sets = written(flat(sets_of, "h long, set binary", wanted).dropDuplicates(["h"]))
         true = checkpointed(map_batches(with_both(kept, sets, "set"), alike, "a long, b long, ok boolean").where("ok").select("a", "b"))
         remove(sets)
+        wanted.unpersist()
         return true
 
     # what a pair must still be able to share, at the first shingle that both have

@@ -85,11 +85,11 @@ def words_of(batch: pa.RecordBatch, i: int) -> list[list[bytes]]:
     return [b"".split() if t is None else t.split() for t in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def bitmap(rows: DataFrame, column: str = "anchor") -> bytes:
-    """A bitmap of a column modulo BITMAP; at most BITMAP bits come to the driver."""
-    x = (F.pmod(column, F.lit(BITMAP)) + 1).alias("x")
+def bitmap(rows: DataFrame, column: str = "anchor", bits: int = BITMAP) -> bytes:
+    """A bitmap of a column modulo bits, a power of two; at most so many bits come to the driver."""
+    x = (F.pmod(column, F.lit(bits)) + 1).alias("x")
     made = rows.select(x).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
-    out = np.zeros(BITMAP // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     with shuffles_removed(rows.sparkSession):
         made = made.collect()
     for r in made:
@@ -98,7 +98,7 @@ def bitmap(rows: DataFrame, column: str = "anchor") -> bytes:
 
 
 def hit(bits: bytes, anchor: np.ndarray) -> np.ndarray:
-    x = anchor & np.uint64(BITMAP - 1)
+    x = anchor & np.uint64(8 * len(bits) - 1)
     return (np.frombuffer(bits, np.uint8)[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
