@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Recent, held, map_batches, texts
 
-LENGTH, DECAY, POWER = 3, 0.6, 4
+LENGTH, DECAY, POWER = 3, 0.6, 2
 #: Documents of each label that are learnt from and the characters these may have; documents of each label and fold that calibrate; landmarks.
 SAMPLE, MOST_CHARS, CALIBRATION, LANDMARKS, FOLDS = 1200, 60_000, 250, 64, 2
 #: Letters of a word that are compared at once, the step to the next such window, words of a sentence at most, letters of a landmark.
 LETTERS, STEP, WORDS, GRAMS = 20, 10, 12, (4, 5, 6, 7, 8)
 START = "^"
+#: Log likelihood ratio from which a string tells the labels apart.
+SURE = 7.5
 #: Runs of single letters set apart ("i d i o t"), read as one word.
 SPACED = re.compile(r"(?<!\S)\w(?:[ .*_-]+\w(?!\w)){2,}(?!\S)")
 _NOISE = re.compile(r"[\W\d_]+")
@@ -192,8 +194,9 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
 
 
-def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum. Rows come in blocks, so little is copied."""
+def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 0.005, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum; the more
+    rows, the less the machine is held back. Rows come in blocks, so little is copied."""
     n1, n0 = sum(map(len, positive)), sum(map(len, negative))
     size = (positive or negative)[0].shape[1] + 1
     w = np.zeros(size) if start is None else start
@@ -202,7 +205,7 @@ def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.
     for _ in range(rounds):
         left, right = ridge.copy(), np.zeros(size)
         for blocks, y, n in ((positive, 1.0, n1), (negative, -1.0, n0)):
-            weigh = 0.5 / max(1, n) * (n1 + n0) * cost
+            weigh = 0.5 / max(1, n) * (n1 + n0) ** 1.5 * cost
             for block in blocks:
                 x = block[y * (block @ w[:-1] + w[-1]) < 1].astype(np.float64)
                 total = x.sum(axis=0)
@@ -239,7 +242,7 @@ def _grams(doc: list[list[str]], n: int) -> set[str]:
 
 def gram_counts(docs: dict[int, list], folds: int) -> dict[tuple[int, int], Counter]:
     """How many documents of each label and fold hold each short string that is often enough in the toxic ones of a fold to matter; one length at a time, to save memory."""
-    least = max(2, len(docs[1]) // (30 * folds))
+    least = max(2, len(docs[1]) // (40 * folds))
     out = {(y, f): Counter() for y in docs for f in range(folds)}
     for n in GRAMS:
         toxic = [Counter() for _ in range(folds)]
@@ -257,10 +260,14 @@ def gram_counts(docs: dict[int, list], folds: int) -> dict[tuple[int, int], Coun
 
 def choose_landmarks(seen1: Counter, n1: int, seen0: Counter, n0: int, others: list[str], n: int, rng: np.random.Generator) -> list[str]:
     """Three quarters: strings that clearly more of the toxic documents hold, unlike each other; the rest: any of `others`. seen: documents by string."""
-    often = max(3, n1 // 30)
-    worth = {}
+    worth, share = {}, n1 / (n1 + n0)
     for g, k in seen1.items():
-        if k >= often and (odds := np.log(k / n1) - np.log((seen0[g] + 0.5) / (n0 + 1))) > 1.0:
+        c = seen0[g]
+        part = k / (k + c)
+        # how unlikely it is that so many of its documents are toxic ones by chance (a log likelihood ratio)
+        sure = k * np.log(part / share) + (c * np.log((1 - part) / (1 - share)) if c else 0.0)
+        odds = np.log(k / n1) - np.log((c + 0.5) / (n0 + 1))
+        if k >= max(3, n1 // 40) and sure > SURE and odds > 1.0:
             worth[g] = odds * (k * len(g)) ** 0.5
     out = _spread(sorted(worth, key=lambda g: (-worth[g], g))[:600], n * 3 // 4)
     pool = [w for w in others if w not in set(out)]
