@@ -194,7 +194,7 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))).tolist()
 
 
-def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 0.005, rounds: int = 60) -> tuple[np.ndarray, float]:
+def hinge_fit(positive: list[np.ndarray], negative: list[np.ndarray], start: np.ndarray | None = None, cost: float = 0.002, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active set. Classes weigh the same in sum; the more
     rows, the less the machine is held back. Rows come in blocks, so little is copied."""
     n1, n0 = sum(map(len, positive)), sum(map(len, negative))
