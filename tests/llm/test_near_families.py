@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from trackloom.llm import simhash
@@ -56,3 +57,10 @@ def test_family(spark, monkeypatch, few):
     assert got == [i for i in range(len(sets)) if find(i) == i] and 50 < len(got) < 350
     assert called, "fingerprints take no part"
     assert joined_rows(spark, before) < 60_000
+
+
+def test_packed_counts():
+    for most in (3, 255, 256, 65_535):
+        counts = np.array([0, 1, most, 2], np.uint16)
+        assert simhash.unpacked(simhash.packed(counts)).tolist() == counts.tolist()
+    assert len(simhash.packed(np.zeros(8, np.uint16))) == 9

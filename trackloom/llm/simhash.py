@@ -182,6 +182,15 @@ def segment_counts(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint16)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in one byte each where all fit, else in two; the first byte says which."""
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\2" + counts.astype("<u2").tobytes()
+
+
+def unpacked(made: bytes) -> np.ndarray:
+    return np.frombuffer(made, np.uint8 if made[0] == 1 else "<u2", offset=1).astype(np.int64)
+
+
 def ring_holds(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sets can be so similar by their segment counts. Equal segments differ by at least the difference of their counts, and all
     by at most the budget; a chain of all segments with every start of it within its share of the budget exists exactly if the sum is."""
@@ -303,7 +312,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
             (first,) = first_of([full])
             at = np.flatnonzero(hit(shared.value, first))
             if at.size:
-                for c, v in zip(out, (one, signed(majority(full)), full.size, segment_counts(full).tobytes(), first[at].view(np.int64), at.astype(np.int32))):
+                for c, v in zip(out, (one, signed(majority(full)), full.size, packed(segment_counts(full)), first[at].view(np.int64), at.astype(np.int32))):
                     out[c].append(v)
         return {"h": pa.array(out["h"], pa.int64()), "fp": pa.array(out["fp"], pa.int64()), "size": pa.array(out["size"], pa.int32()), "ring": pa.array(out["ring"], pa.binary()), "s": pa.array(out["s"], pa.list_(pa.int64())), "at": pa.array(out["at"], pa.list_(pa.int32()))}
 
@@ -324,7 +333,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
         return sets
 
     def can_be(b: pa.RecordBatch) -> dict:
-        ok = [ring_holds(*(np.frombuffer(v.as_buffer(), np.uint16) for v in both), similarity) for both in zip(b.column(2), b.column(3))]
+        ok = [ring_holds(*(unpacked(v.as_py()) for v in both), similarity) for both in zip(b.column(2), b.column(3))]
         return {"a": b.column(0), "b": b.column(1), "ok": pa.array(ok, pa.bool_())}
 
     def enough(same: int, n: int, m: int) -> bool:
