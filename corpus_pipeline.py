@@ -58,12 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. A stage's table and what it needed on the way are deleted when the next stage's table is written."""
+    """The last stage's rows. A stage's table is deleted when the next stage's one is written, what it needed on the way when its own is."""
     docs = common.table(spark, sf_dir, "documents")
     top = f"{common.shared_dir(spark)}/trackloom-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         with common.scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+            made = stage(spark, docs, sf_dir)
+            with common.shuffles_removed(spark):
+                made.write.parquet(f"{top}/{k}")
         if k:
             common.delete(spark, f"{top}/{k - 1}")
         docs = spark.read.parquet(f"{top}/{k}")

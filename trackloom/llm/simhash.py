@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import checkpointed, map_batches, remove, ship, shuffles_removed, texts, written
+from .common import checkpointed, gathered, map_batches, remove, ship, texts, written
 from .components import connected_components
 from .substring import bitmap, gram_hashes, hit, word_hashes
 
@@ -290,8 +290,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
         return {"s": pa.array(s.view(np.int64)), "n": pa.array(n)}
 
     often = flat(by_hash, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(COMMON)
-    with shuffles_removed(spark):
-        often = sorted((r["s"] % (1 << 64), r["n"]) for r in often.collect())  # COMMON rows at most
+    often = sorted((r["s"] % (1 << 64), r["n"]) for r in gathered(often))  # COMMON rows at most
     order = spark.sparkContext.broadcast((np.array([x for x, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
 
     def prefixes(bodies: list[str]) -> list[np.ndarray]:
@@ -350,7 +349,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.
         """pairs with x and y, the values of a and b (those of a from first, if given). Many pairs may share a: its value is dealt to as many parts as it has thousands of pairs."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROUND_HUB).alias("parts"))
         dealt = (values if first is None else first).withColumnRenamed("h", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(c).alias("x"), "parts")
-        most = parts.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
+        most = gathered(parts.agg(F.coalesce(F.max("parts"), F.lit(1))))[0][0]
         right = pairs.join(values.withColumnRenamed("h", "b"), "b").select("a", "b", F.col(c).alias("y"))
         if most == 1:
             return right.join(dealt.drop("part", "parts"), "a").select("a", "b", "x", "y")

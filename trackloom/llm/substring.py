@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_batches, ship, shuffles_removed, written
+from .common import checkpointed, gathered, map_batches, ship, written
 
 GRAM = 16
 HOT = 50_000
@@ -90,9 +90,7 @@ def bitmap(rows: DataFrame, column: str = "anchor", bits: int = BITMAP) -> bytes
     x = (F.pmod(column, F.lit(bits)) + 1).alias("x")
     made = rows.select(x).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
-    with shuffles_removed(rows.sparkSession):
-        made = made.collect()
-    for r in made:
+    for r in gathered(made):
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
